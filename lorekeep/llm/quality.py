@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, fresh, let, quoted
 
 #: Measures that get a fence, with the margin added to it: no group's fence is tighter than its quartile plus this.
-MEASURES = {"symbols_per_word": 0.15, "mean_word_chars": 2.0, "duplicate_line_share": 0.2}
+MEASURES = {"symbols_per_word": 0.15, "mean_word_chars": 2.0, "duplicate_line_share": 0.5}
 
 
 def base_counts(text: Column, words: Column, lines: Column) -> dict[str, Column]:
