@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import pipelines, reads, streams  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir: str):

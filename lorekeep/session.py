@@ -1,10 +1,11 @@
-"""Session defaults."""
+"""Session defaults and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -23,3 +24,22 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make ``checkpoint()`` usable: the folder in spark.checkpoint.dir, or one of our own in local mode."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lorekeep-checkpoint-")
+    sc.setCheckpointDir(folder)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the shared checkpoint folder."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
