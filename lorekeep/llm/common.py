@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import string
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import saved, use_checkpoints  # noqa: F401
+
 #: The white space that separates words in every contract of this subpackage.
 SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -44,24 +45,5 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the folder in spark.checkpoint.dir, or one of our own in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lorekeep-checkpoint-")
-    sc.setCheckpointDir(folder)
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared checkpoint folder."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
