@@ -363,3 +363,18 @@ def test_chat_repair(spark):
             state = chat.ROLES.index(h)
         assert state == chat.FINAL
     assert chat.repair_conversations(turns.where("false")).count() == 0
+
+
+def test_packing_ids_are_the_tokenizers(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 60)
+    texts = [
+        "Hello, WORLD! Don't... it's x<|endoftext|>. <|ENDOFTEXT|>, a.b.c; É, é! Σίσυφος ΟΔΟΣ. ΟΔΟΣ",
+        "", " \t\n", "中文, 中文。 é, É! ́, 3, 3.14! ², x²: …! 'S, 'RE; I'M! naïve? İ, ß; ǅ. क़, क़!",
+        "one two three, four. five! " * 9, "\x1c\x1d a\xa0b   c\x85d 　,",
+    ]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Ids(packing.tokenizer_path())(texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
