@@ -376,5 +376,5 @@ def test_packing_ids_are_the_tokenizers(monkeypatch):
         "", " \t\n", "中文, 中文。 é, É! ́, 3, 3.14! ², x²: …! 'S, 'RE; I'M! naïve? İ, ß; ǅ. क़, क़!",
         "one two three, four. five! " * 9, "\x1c\x1d a\xa0b   c\x85d 　,",
     ]
-    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Ids(packing.tokenizer_path())(texts)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Ids(packing.tokenizer_path())(t.encode() for t in texts)]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
