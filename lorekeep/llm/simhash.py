@@ -17,6 +17,8 @@ from .common import fresh, quoted, saved
 BITS = 64
 #: Variants that one task holds in memory at a time: 8 bytes each, and as much again to sort them.
 VARIANTS_PER_BUCKET = 1 << 22
+#: Places of fingerprints in buckets that are sorted at a time.
+DEALT_AT_ONCE = 1 << 21
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -83,22 +85,27 @@ def linked_in_bucket(values: np.ndarray, bucket: int, bits: int, half: int) -> t
     patterns, hashes = patterns[order], hashes[order]
     wanted = folded(values, bits) ^ bucket
     low, high = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
-    count = high - low
-    owner = np.repeat(np.arange(len(values), dtype=np.int64), count)
-    which = np.arange(len(owner), dtype=np.int64) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-    variants = values[owner] ^ patterns[which]
+    ends = np.cumsum(high - low)
+    variants = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    for value, start, stop, end in zip(values, low.tolist(), high.tolist(), ends.tolist()):
+        np.bitwise_xor(patterns[start:stop], value, out=variants[end - (stop - start) : end])
     ranked = np.sort(variants)
     twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    del ranked
     if not len(twice):
         return values[:0], values[:0]
     spread, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(BITS - 22)
     seen = np.zeros(1 << 22, bool)
     seen[(twice * spread) >> shift] = True
-    maybe = np.flatnonzero(seen[(variants * spread) >> shift])
-    variants, owner = variants[maybe], owner[maybe]
-    at = np.searchsorted(twice, variants)
-    real = twice[np.minimum(at, len(twice) - 1)] == variants
-    owner, group = owner[real], at[real]
+    owner, group = [], []
+    for i in range(0, len(variants), BLOCK):  # a block at a time: most variants are met by no other
+        block = variants[i : i + BLOCK]
+        maybe = np.flatnonzero(seen[(block * spread) >> shift])
+        at = np.searchsorted(twice, block[maybe])
+        real = twice[np.minimum(at, len(twice) - 1)] == block[maybe]
+        owner.append(np.searchsorted(ends, maybe[real] + i, "right"))
+        group.append(at[real])
+    owner, group = np.concatenate(owner), np.concatenate(group)
     order = np.lexsort((owner, group))
     owner, group = owner[order], group[order]
     heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
@@ -131,13 +138,16 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         syndromes = np.unique(folded(ball(half), bits))
+        step = max(1, DEALT_AT_ONCE // len(syndromes))
         for batch in batches:
-            values = batch["fp"].to_numpy(np.int64)
-            places = (folded(values.view(np.uint64), bits)[:, None] ^ syndromes[None, :]).ravel()
-            order = np.argsort(places, kind="stable")
-            places, owners = places[order], values[order // len(syndromes)]
-            cuts = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if len(places) else []
-            yield pd.DataFrame({"bucket": places[cuts], "fps": [x.tobytes() for x in np.split(owners, cuts[1:])]} if len(cuts) else {"bucket": [], "fps": []})
+            own = batch["fp"].to_numpy(np.int64)
+            for i in range(0, len(own), step):
+                values = own[i : i + step]
+                places = (folded(values.view(np.uint64), bits)[:, None] ^ syndromes[None, :]).ravel()
+                order = np.argsort(places, kind="stable")
+                places, owners = places[order], values[order // len(syndromes)]
+                cuts = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+                yield pd.DataFrame({"bucket": places[cuts], "fps": [x.tobytes() for x in np.split(owners, cuts[1:])]})
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, b = linked_in_bucket(np.frombuffer(b"".join(rows["fps"]), np.uint64), int(key[0]), bits, half)
