@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, fresh, let, quoted
+from .common import SPACE_CLASS, fresh, let, quoted, saved
 
+#: Groups whose fences go to every task, at about 100 bytes each; more of them are joined by a shuffle, with salt.
+MAX_BROADCAST, SALTS = 20_000, 32
 #: Measures that get a fence, with the margin added to it: no group's fence is tighter than its quartile plus this.
 MEASURES = {"symbols_per_word": 0.15, "mean_word_chars": 2.0, "duplicate_line_share": 0.5}
 
@@ -115,7 +117,14 @@ def judge(
     keys = fresh(docs, *[f"_g{i}" for i in range(len(group_cols))])
     keyed = docs.withColumns({k: F.coalesce(quoted(c).cast("string"), F.lit("\x00")) for k, c in zip(keys, group_cols)})
     counts = measure(keyed.select(*keys, quoted(text_col)).withColumn("n_lines", n_lines), text_col, repeats=False)
-    limits = fences(counts, keys, min_words, reach, min_rows, accuracy)
+    limits = saved(fences(counts, keys, min_words, reach, min_rows, accuracy))
+    (salt,) = fresh(docs, "_salt")
+    if limits.count() <= MAX_BROADCAST:
+        limits = F.broadcast(limits.withColumn(salt, F.lit(0)))
+        keyed = keyed.withColumn(salt, F.lit(0))
+    else:
+        limits = limits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(quoted(text_col)), F.lit(SALTS)).cast("int"))
 
     full = measure(keyed.withColumn("n_lines", n_lines), text_col)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -123,9 +132,9 @@ def judge(
     for m, value in ratios().items():
         inside &= value.between(F.col(f"_low_{m}"), F.col(f"_high_{m}"))
     return (
-        full.join(limits, keys, "left")
+        full.join(limits, [*keys, salt], "left")
         .withColumn("base_failed", failed)
-        # not a conjunction: a filter on it stays above the join, where the counts are computed already
+        # not a conjunction, so that a filter on it stays above the join, where the counts are computed already
         .withColumn("kept", F.least(~F.col("base_failed"), F.coalesce(inside, F.lit(True))))
         .select(*[quoted(c) for c in docs.columns], *new)
     )

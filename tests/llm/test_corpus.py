@@ -110,6 +110,14 @@ def test_quality_counts(spark, odd):
     assert quality.judge(odd.where("false")).count() == 0
 
 
+def test_quality_of_many_groups(spark, odd, monkeypatch):
+    docs = odd.select("doc_id", "text", "lang", "source").union(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100", "text", "lang", "source"))
+    few = quality.judge(docs, min_rows=5).collect()
+    monkeypatch.setattr(quality, "MAX_BROADCAST", 0)
+    many = quality.judge(docs, min_rows=5).collect()
+    assert sorted(map(str, few)) == sorted(map(str, many))
+
+
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
