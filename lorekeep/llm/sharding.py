@@ -8,7 +8,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted
+from .common import fresh, quoted, saved
 
 #: The ring is cut into this many equal cells; virtual nodes sit at cell starts.
 CELL_BITS = 14
@@ -104,16 +104,17 @@ def shard_rows(
         }
     )
     sizes = dealt.groupBy(cell, salt).agg(F.count(F.lit(1)).alias("_n"))  # at most 2**14 x SALTS rows
-    found = {r[0]: r[1] for r in sizes.groupBy(cell).agg(F.sum("_n")).collect()}
+    cells = saved(sizes.groupBy(cell).agg(F.sum("_n").alias("_n"), F.array_sort(F.collect_list(F.struct(salt, "_n"))).alias(off)))
+    found = {r[0]: r[1] for r in cells.select(cell, "_n").collect()}
     plan = [(c, [tuple(x) for x in xs]) for c, xs in allot(found, n_shards, virtual_nodes, slack).items()]
     kinds = "c int, p array<struct<first:long,n:long,shard:int,slot:long>>"
     plans = spark.createDataFrame(plan, kinds).select(F.col("c").alias(cell), F.col("p").alias(parts))
-    before = F.sum("_n").over(Window.partitionBy(cell).orderBy(salt)) - F.col("_n")
-    offsets = sizes.withColumn(off, before).join(F.broadcast(plans), cell).select(cell, salt, off, parts)
+    offsets = cells.select(cell, off).join(F.broadcast(plans), cell)  # at most 2**14 rows, one for each cell
 
     order = Window.partitionBy(cell, salt).orderBy(F.col(key), quoted(id_col), F.crc32(text))
-    ranked = dealt.withColumn(rank, F.row_number().over(order)).join(F.broadcast(offsets), [cell, salt])
-    ranked = ranked.withColumn(rank, F.col(off) + F.col(rank) - 1)
+    ranked = dealt.withColumn(rank, F.row_number().over(order)).join(F.broadcast(offsets), cell)
+    before = F.aggregate(F.filter(F.col(off), lambda x: x[salt] < F.col(salt)), F.lit(0).cast("long"), lambda a, x: a + x["_n"])
+    ranked = ranked.withColumn(rank, before + F.col(rank) - 1)
     part = F.get(F.filter(F.col(parts), lambda p: (F.col(rank) >= p.first) & (F.col(rank) < p.first + p.n)), F.lit(0))
     return ranked.withColumn(parts, part).select(
         *[quoted(c) for c in docs.columns],
