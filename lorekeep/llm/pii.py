@@ -149,7 +149,10 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_
     )
     text = quoted(text_col)
     all_found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumns({found: F.coalesce(all_found, F.array().cast("array<string>")), h1: F.xxhash64(text), h2: F.xxhash64(F.lit(1), text)})
+    none = F.array().cast("array<string>")
+    marked = docs.withColumn(found, F.coalesce(all_found, none))
+    clean = marked.where(F.size(found) == 0)  # most documents: they go nowhere
+    marked = marked.where(F.size(found) > 0).withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit(1), text)})
     hits = docs.select(quoted(id_col).alias(rid), F.xxhash64(text).alias(h1), F.xxhash64(F.lit(1), text).alias(h2), F.posexplode(all_found).alias(spot, value))
     hits = hits.withColumn(kind, kind_of(F.col(value)))
     hits = saved(hits.withColumn(canon, canonical(F.col(kind), F.col(value))))
@@ -167,11 +170,13 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_
     joined = joined.withColumn(parts, F.when(F.col(mentions).isNotNull(), F.split(text, ANY, -1)))
     woven = F.array_join(F.zip_with(F.col(parts), F.col(mentions), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     keep = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    return joined.select(
+    replaced = joined.select(
         *[F.when(F.col(mentions).isNull(), text).otherwise(woven).alias(c) if c == text_col else quoted(c) for c in keep],
         F.size(found).cast("long").alias("n_entities"),
-        F.coalesce(F.col("_kinds"), F.array().cast("array<string>")).alias("kinds"),
+        F.coalesce(F.col("_kinds"), none).alias("kinds"),
     )
+    same = clean.select(*[text.cast("string").alias(c) if c == text_col else quoted(c) for c in keep], F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"))
+    return replaced.unionByName(same)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
