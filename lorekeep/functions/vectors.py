@@ -95,7 +95,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, ceiling: float | No
 
     The queries, at most MAX_QUERIES, are the stated set that goes to every task; vectors are read once, in Arrow
     batches, each of which keeps its own ``k`` nearest of a query. Distances are rounded to 6 places, ties go by id,
-    and pairs beyond ``ceiling`` are dropped. Null vectors and those of another width match nothing.
+    and pairs beyond ``ceiling`` are dropped. Vectors meet only those of their own width; null and zero vectors meet nothing.
     """
     if not 0 < k <= MAX_NEIGHBOURS:
         raise ValueError(f"k must be from 1 to {MAX_NEIGHBOURS}")
@@ -103,25 +103,25 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, ceiling: float | No
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"a k-NN join takes at most {MAX_QUERIES} queries")
     rows = [r for r in rows if r.vec is not None and np.linalg.norm(r.vec) > 0]
-    ids = [r.id for r in rows]
-    matrix = np.array([np.asarray(r.vec, float) / np.linalg.norm(r.vec) for r in rows])
+    by_width: dict[int, list] = {}
+    for r in rows:
+        by_width.setdefault(len(r.vec), []).append((r.id, np.asarray(r.vec, float) / np.linalg.norm(r.vec)))
+    matrices = [(n, [i for i, _ in own], np.stack([v for _, v in own])) for n, own in by_width.items()]
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[[v is not None and len(ids) > 0 and len(v) == matrix.shape[1] for v in batch["vec"]]]
-            if not len(batch):
-                continue
-            own = np.stack([np.asarray(v, float) for v in batch["vec"]])
-            length = np.linalg.norm(own, axis=1)
-            good = length > 0
-            names, own = batch["id"].to_numpy()[good], own[good] / length[good, None]
-            far = np.round(1 - matrix @ own.T, PLACES) + 0.0
-            for q, line in enumerate(far):
-                keep = np.flatnonzero(line <= ceiling) if ceiling is not None else np.arange(len(line))
-                if len(keep) > k:
-                    keep = keep[np.lexsort((names[keep], line[keep]))[:k]]
-                if len(keep):
-                    yield pd.DataFrame({"query_id": ids[q], "id": names[keep], "distance": line[keep]})
+            for width, ids, matrix in matrices:
+                own = [(i, v) for i, v in zip(batch["id"], batch["vec"]) if v is not None and len(v) == width and np.linalg.norm(v) > 0]
+                if not own:
+                    continue
+                names, vecs = np.array([i for i, _ in own], np.int64), np.stack([np.asarray(v, float) for _, v in own])
+                far = np.round(1 - matrix @ (vecs / np.linalg.norm(vecs, axis=1)[:, None]).T, PLACES) + 0.0
+                for q, line in enumerate(far):
+                    keep = np.flatnonzero(line <= ceiling) if ceiling is not None else np.arange(len(line))
+                    if len(keep) > k:
+                        keep = keep[np.lexsort((names[keep], line[keep]))[:k]]
+                    if len(keep):
+                        yield pd.DataFrame({"query_id": ids[q], "id": names[keep], "distance": line[keep]})
 
     pairs = vectors.select("id", "vec").mapInPandas(near, "query_id long, id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")

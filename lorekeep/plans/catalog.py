@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pipelines, reads, streams  # noqa: F401  they register their queries
+from . import evidence, pipelines, reads, streams  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
