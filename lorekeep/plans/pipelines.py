@@ -287,7 +287,7 @@ def _(t):
     **RESIDUE,
 )
 def _(t):
-    verdicts = t.derived_artifact.where("artifact_id % 3 = 0").select("artifact_id", F.lit("exclude").alias("classification"))
+    verdicts = t.embedding.where("artifact_id % 3 = 0").select("artifact_id", F.lit("exclude").alias("classification"))
     return erasure.band(walked(t), AUTO, verdicts).select("artifact_id", "query_id", "distance", "band", "included", "decision_reason")
 
 
@@ -307,7 +307,7 @@ AUTOS, REVIEWS = (0.70, 0.74, 0.78, 0.82, 0.86), (0.72, 0.76, 0.80, 0.84, 0.88)
     **RESIDUE,
 )
 def _(t):
-    planted = t.derived_artifact.where("artifact_id % 2 = 0").select("artifact_id")
+    planted = t.embedding.where("artifact_id % 2 = 0").select("artifact_id")
     return erasure.sensitivity(walked(t), planted, AUTOS, REVIEWS)
 
 
