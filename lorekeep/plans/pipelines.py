@@ -428,7 +428,7 @@ MUTATION = """SELECT event_id, l.session_id, l.client_id, seq, category, s.cost_
   avg(CASE WHEN category = 'error' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY l.session_id ORDER BY seq ROWS 19 PRECEDING) AS share
   FROM (SELECT *, (payload->>'$.k')::BIGINT AS k FROM ledger) l JOIN session s USING (session_id)"""
 MET = """SELECT event_id, session_id, client_id, category, rule_id, action, row_number() OVER (PARTITION BY event_id ORDER BY rank, name) = 1 AS governing FROM (
-  SELECT *, 1 AS rule_id, 'halt-expensive' AS name, 'halt_agent' AS action, 1 AS rank FROM mutation WHERE cost > 1400
+  SELECT *, 1::BIGINT AS rule_id, 'halt-expensive' AS name, 'halt_agent' AS action, 1 AS rank FROM mutation WHERE cost > 1400
   UNION ALL SELECT *, 2, 'many-errors', 'warn', 3 FROM mutation WHERE share > 0.3
   UNION ALL SELECT *, 3, 'key-material', 'require_approval', 2 FROM mutation WHERE path LIKE '%.pem'
   UNION ALL SELECT *, 4, 'environment', 'warn', 3 FROM mutation WHERE path LIKE '%.env'
@@ -496,7 +496,7 @@ def _(t):
     return upkeep.acquire(t.erasure_lease, t.client, moment(NOW))
 
 
-@query("d10_fenced_writes", "SELECT client_id, generation FROM (SELECT client_id, 1 AS generation FROM client UNION ALL SELECT client_id, 2 FROM client) WHERE (client_id, generation) IN (SELECT (client_id, generation) FROM erasure_lease WHERE superseded_at IS NULL)")
+@query("d10_fenced_writes", "SELECT client_id, generation FROM (SELECT client_id, 1::BIGINT AS generation FROM client UNION ALL SELECT client_id, 2 FROM client) WHERE (client_id, generation) IN (SELECT (client_id, generation) FROM erasure_lease WHERE superseded_at IS NULL)")
 def _(t):
     writes = t.client.select("client_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("generation"))
     return upkeep.fenced(writes, t.erasure_lease)

@@ -297,9 +297,9 @@ def _(t):
 # --- aggregates
 
 
-@query("a03_orphaned_artifacts", f"SELECT artifact_id FROM ({CURRENT}) GROUP BY artifact_id HAVING count(*) FILTER (client_id <> {CLIENT}) = 0 AND count(*) FILTER (client_id = {CLIENT}) > 0")
+@query("a03_orphaned_artifacts", f"SELECT artifact_id FROM ({CURRENT}) GROUP BY artifact_id HAVING count(*) FILTER (client_id <> 4) = 0 AND count(*) FILTER (client_id = 4) > 0")
 def _(t):
-    return erasure.orphaned(t.client_binding, CLIENT)
+    return erasure.orphaned(t.client_binding, 4)
 
 
 RETENTION = f"""SELECT c.client_id, c.slug, count(*) FILTER (e > TIMESTAMP '{NOW}' AND e <= TIMESTAMP '{NOW}' + INTERVAL 7 DAY) AS soon,
@@ -314,6 +314,21 @@ def _(t):
     return upkeep.retention_report(t.client, [t.ledger, derived, t.embedding], moment(NOW))
 
 
+@query("j25_roster_retention", RETENTION + " ORDER BY c.slug, c.client_id")
+def _(t):
+    derived = t.derived_artifact.select(F.col("owner_client_id").alias("client_id"), "expires_at")
+    return upkeep.retention_report(t.client, [t.ledger, derived, t.embedding], moment(NOW)).orderBy("slug", "client_id")
+
+
+@query(
+    "j26_disposition_origins",
+    "SELECT d.artifact_id, d.disposition, f.client_id, epoch_us(f.first_at) AS first_us, f.first_method FROM disposition d LEFT JOIN (SELECT artifact_id, client_id, min(valid_from) AS first_at, arg_min(method, valid_from) AS first_method FROM client_binding GROUP BY 1, 2) f USING (artifact_id)",
+)
+def _(t):
+    joined = t.disposition.join(history.first_attribution(t.client_binding), "artifact_id", "left")
+    return joined.select("artifact_id", "disposition", "client_id", micros("first_at").alias("first_us"), "first_method")
+
+
 @query("a06_dispositions_by_kind", "SELECT run_id, disposition, count(*) AS n FROM disposition GROUP BY ALL")
 def _(t):
     return t.disposition.groupBy("run_id", "disposition").agg(F.count(F.lit(1)).alias("n"))

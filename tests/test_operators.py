@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import digests, text, vectors
 from lorekeep.operators import chain, erasure, graph, history, ingest, policy, recall, upkeep
 from lorekeep.plans import catalog
+from lorekeep.sources import records
 from lorekeep.sources.tables import Tables
 from lorekeep.streaming import watch
 
@@ -229,3 +230,13 @@ def test_micro_batches_equal_the_batch(spark, t):
     seen = []
     watch.with_batches(watch.as_stream(rows, "x", 5), lambda df, n: seen.append((n, df.count())), "o").awaitTermination()
     assert sum(n for _, n in seen) == rows.count() and len(seen) >= 2
+
+
+def test_small_sources(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"7": "3", "9": "11"}')
+    (tmp_path / "b.json").write_text('{"planted_fragments": [{"artifact_id": "7", "owner_client_id": "3"}]}')
+    read = lambda name: sorted(map(tuple, records.ground_truth(spark, str(tmp_path / name)).collect()))
+    assert read("a.json") == [("7", "3"), ("9", "11")] and read("b.json") == [("7", "3")]
+    assert [tuple(r) for r in records.workspace_map(spark, '[workspaces]\n"/w/a/" = 3').collect()] == [("/w/a", 3)]
+    with pytest.raises(ValueError):
+        records.workspace_map(spark, "x = 1")
