@@ -15,7 +15,7 @@ from .common import quoted
 
 #: Labelled documents the classifier is fitted on at most, those with the least hashes of their ids.
 MAX_TRAINING = 12_000
-#: Bytes of a training text that are read; scoring reads whole texts.
+#: Slots that features hash to.
 SLOTS = 1 << 20
 TOKENS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 SENTENCE = re.compile(rb"[^.!?\n]+[.!?]*")
