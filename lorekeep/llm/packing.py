@@ -162,43 +162,74 @@ def sequences(plan: list[tuple[np.ndarray, int]]) -> int:
     return sum(times for _, times in plan)
 
 
+def capped_pattern(value: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
+    """``best_pattern`` with no more of a length than ``counts`` has: lengths that run out leave, the room is priced again."""
+    value, out, room = np.where(counts > 0, value, 0.0), np.zeros(capacity + 1, np.int64), capacity
+    while room > 0 and value[: room + 1].any():
+        more = best_pattern(value[: room + 1], room)
+        if not more.any():
+            break
+        out[: room + 1] += np.minimum(more, (counts - out)[: room + 1])
+        value[out >= counts] = 0.0
+        room = capacity - int((out * np.arange(capacity + 1)).sum())
+    return out
+
+
+def fractional(counts: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[np.ndarray, float]]:
+    """The program's fractional solution by multiplicative weights: patterns and how often each is used.
+
+    The histogram stays as it is. Each round uses the best pattern as often as its scarcest length allows, and a
+    length's price falls by exp(-rate) each time it is covered as a whole, without end. There are ``rounds`` rounds,
+    and then more, up to one for each length, until every length is covered. Where all are covered several times
+    over, the uses are scaled down to once.
+    """
+    lengths, need = np.arange(capacity + 1), np.maximum(counts, 1)
+    covered, uses = np.zeros(capacity + 1), {}
+    for k in range(max(rounds, np.count_nonzero(counts)) if counts.any() else 0):
+        if k >= rounds and covered[counts > 0].min() >= 1 - 1e-9:
+            break
+        behind = covered - covered[counts > 0].min()
+        pattern = capped_pattern(lengths / capacity * np.exp(-rate * behind), counts, capacity)
+        used = np.flatnonzero(pattern)
+        step = (counts[used] / pattern[used]).min()
+        covered[used] += step * pattern[used] / need[used]
+        key = pattern.tobytes()
+        uses[key] = uses.get(key, 0.0) + step
+    scale = max(1.0, covered[counts > 0].min()) if uses else 1.0
+    return [(np.frombuffer(key, np.int64), x / scale) for key, x in uses.items()]
+
+
+def rounded(solution: list[tuple[np.ndarray, float]], counts: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Whole uses of whole patterns, the fullest first, and the pieces that are left over."""
+    left, plan = counts.copy(), []
+    for pattern, x in sorted(solution, key=lambda s: (-int((s[0] * np.arange(len(s[0]))).sum()), -s[1])):
+        used = np.flatnonzero(pattern)
+        times = min(int(x + 1e-9), int((left[used] // pattern[used]).min()))
+        if times:
+            left[used] -= times * pattern[used]
+            plan.append((pattern, times))
+    return plan, left
+
+
 def pack_histogram(counts: np.ndarray, capacity: int, rounds: int = 300, rate: float = 0.1) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used; together they hold exactly ``counts`` pieces of each length.
 
-    The program: fewest patterns that cover every length's count. Its solution by multiplicative weights keeps a
-    price for each length, which falls as the length gets covered; each round prices the best pattern by the
-    knapsack recursion and uses it for a part of what its scarcest length still needs. What the solution rounded
-    down leaves is packed best-fit decreasing. All of it works on one count for each length, whatever the number
-    of pieces. Where plain best-fit decreasing needs fewer sequences, that is taken.
+    The program: fewest patterns that cover every length's count. Its fractional solution (see ``fractional``) is
+    always computed and rounded down; what that leaves is packed best-fit decreasing. All of it works on one count
+    for each length, whatever the number of pieces. Only where plain best-fit decreasing needs fewer sequences is that
+    taken instead.
     """
     counts = counts.astype(np.int64)
-    lengths = np.arange(capacity + 1)
     plan, left = [], counts.copy()
     if counts[capacity]:
         only = np.zeros(capacity + 1, np.int64)
         only[capacity] = 1
         plan.append((only, int(counts[capacity])))
         left[capacity] = 0
+    mixed, rest = rounded(fractional(left, capacity, rounds, rate), left)
+    mixed += best_fit(rest, capacity)
     plain = best_fit(left, capacity)
-    covered = np.zeros(capacity + 1)
-    need, mixed = np.maximum(left, 1), []
-    floor = int(np.ceil((left * lengths).sum() / capacity))
-    if sequences(plain) > floor:
-        for _ in range(rounds):
-            price = np.where(left > 0, lengths / capacity * np.exp(-rate * covered / need), 0.0)
-            pattern = best_pattern(price, capacity)
-            used = np.flatnonzero(pattern)
-            if not len(used):
-                break
-            pattern[used] = np.minimum(pattern[used], left[used])
-            if (pattern * lengths).sum() < capacity * 0.999:
-                break
-            times = max(1, int((left[used] / pattern[used]).min() * 0.5))
-            left[used] -= times * pattern[used]
-            covered[used] += times * pattern[used]
-            mixed.append((pattern, times))
-        mixed += best_fit(left, capacity)
-    return plan + (mixed if mixed and sequences(mixed) < sequences(plain) else plain)
+    return plan + (mixed if sequences(mixed) <= sequences(plain) else plain)
 
 
 def places(plan: list[tuple[np.ndarray, int]], counts: np.ndarray) -> dict[str, np.ndarray]:
