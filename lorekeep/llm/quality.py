@@ -71,13 +71,15 @@ def ratios() -> dict[str, Column]:
 
 
 def fences(counts: DataFrame, group_cols: list[str], min_words: int, reach: float, min_rows: int, accuracy: int) -> DataFrame:
-    """One row of fences for each group, from sketches that tasks fill and Spark merges.
+    """One row of fences for each group, from sketches that tasks fill and Spark merges, for it and all it is part of.
 
     Fences lie ``reach`` quartile distances beyond the quartiles, and are rounded outwards to 1/64 so that the
-    order in which sketches merge does not move them. Groups of under ``min_rows`` documents get none.
+    order in which sketches merge does not move them. A group of under ``min_rows`` documents gets those of the groups
+    that share its first columns but the last, then but the last two, and at last those of all documents.
     """
     rows = counts.where(F.col("n_words") >= min_words).withColumns(ratios())
-    found = rows.groupBy(*group_cols).agg(
+    found = rows.rollup(*group_cols).agg(
+        F.grouping_id().alias("_level"),
         F.count(F.lit(1)).alias("_rows"),
         *[F.percentile_approx(m, [0.25, 0.75], accuracy).alias(f"_{m}") for m in MEASURES],
     )
@@ -90,7 +92,18 @@ def fences(counts: DataFrame, group_cols: list[str], min_words: int, reach: floa
             (F.floor((low - width) * grid) / grid).alias(f"_low_{m}"),
             (F.ceil((high + width) * grid) / grid).alias(f"_high_{m}"),
         ]
-    return found.where(F.col("_rows") >= min_rows).select(*group_cols, *out)
+    found = saved(found.select(*group_cols, "_level", "_rows", *out))
+    names = [c for m in MEASURES for c in (f"_low_{m}", f"_high_{m}")]
+    own = found.where("_level = 0").select(*group_cols, *[F.when(F.col("_rows") >= min_rows, F.col(c)).alias(c) for c in names])
+    for k in range(1, len(group_cols) + 1):
+        keys = group_cols[: len(group_cols) - k]
+        wider = found.where((F.col("_level") == (1 << k) - 1) & ((F.col("_rows") >= min_rows) | F.lit(not keys)))
+        wider = wider.select(*keys, *[F.col(c).alias(f"_wide{c}") for c in names])
+        if wider.count() <= MAX_BROADCAST:
+            wider = F.broadcast(wider)
+        own = own.join(wider, keys, "left") if keys else own.crossJoin(wider)
+        own = own.select(*group_cols, *[F.coalesce(c, f"_wide{c}").alias(c) for c in names])
+    return own
 
 
 def judge(
@@ -107,7 +120,8 @@ def judge(
 
     ``base_failed``: under ``min_words`` words, or more than ``max_repeat_percent`` of them in repeated 3-word
     windows. Otherwise a document is kept if its symbols and characters per word and its share of repeated lines
-    lie inside the fences of its language and source. A group too small for fences rejects nothing; a null
+    lie inside the fences of its language and source. A group under ``min_rows`` takes those of its language, a language
+    under ``min_rows`` those of all documents, however few; a null
     language or source is a group like any other; null and empty texts have no words and fail. Columns of the
     input that have a result's name are replaced.
     """

@@ -3,7 +3,7 @@
 
 import numpy as np
 
-from lorekeep.llm import packing
+from lorekeep.llm import packing, quality
 
 
 def test_packing_solves_the_program():
@@ -18,3 +18,12 @@ def test_packing_solves_the_program():
     covered = sum(p * x for p, x in packing.fractional(many, 512, 5, 0.1))  # more lengths than rounds
     assert (covered >= many - 1e-6).all()
     assert (packing.capped_pattern(np.arange(65.0), np.bincount([40, 9, 9], minlength=65), 64)[[40, 9]] == [1, 2]).all()
+
+
+def test_small_groups_meet_fences(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda: " ".join(f"word{x}" for x in rng.integers(0, 900, 80))
+    junk = " ".join(f"#{x}$%" for x in rng.integers(0, 900, 80))
+    rows = [(i, prose(), "en", f"s{i % 30}") for i in range(60)] + [(100, junk, "en", "s1"), (101, junk, "en", "rare"), (102, junk, "xx", "y"), (103, prose(), "xx", "y")]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {**dict.fromkeys(range(60), True), 100: False, 101: False, 102: False, 103: True}
