@@ -44,7 +44,13 @@ SPELLINGS = {
     "sub license": "sublicense",
     "https ": "http ",
 }
-COPYRIGHT = r"(^|\n)[ \t*#/;>-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that are a copyright notice: the word or (c) with a sign or a year after it, a sign, or the reserved rights.
+YEAR = r"[\[<({]?(19[0-9][0-9]|20[0-9][0-9]|yyyy|year)"
+COPYRIGHT = (
+    r"(^|\n)[ \t*#/;>-]*(copyright[ \t:]*(\(c\)|©|" + YEAR + r")|\(c\)[ \t:]*(copyright|" + YEAR + r")|©|all rights reserved)[^\n]*"
+)
+#: The rule of the DuckDB twin, whose SQL stays as it was; it also drops lines of a text that only begin with the word.
+TWIN_COPYRIGHT = r"(^|\n)[ \t*#/;>-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 #: Widely used short licence texts and notices (fixed values).
@@ -130,12 +136,12 @@ def op5_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The same for DuckDB."""
+    """The same for DuckDB but for TWIN_COPYRIGHT."""
     text = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(x: str) -> str:
         x = f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        x = f"regexp_replace({x}, {text(COPYRIGHT)}, chr(10), 'g')"
+        x = f"regexp_replace({x}, {text(TWIN_COPYRIGHT)}, chr(10), 'g')"
         x = f"regexp_replace({x}, {text(NOT_WORD)}, ' ', 'g')"
         for old, new in SPELLINGS.items():
             if old != new:

@@ -1,9 +1,10 @@
 """What a review found to be done in part only."""
 
+import textwrap
 
 import numpy as np
 
-from lorekeep.llm import packing, quality
+from lorekeep.llm import licenses, packing, quality
 
 
 def test_packing_solves_the_program():
@@ -27,3 +28,13 @@ def test_small_groups_meet_fences(spark):
     rows = [(i, prose(), "en", f"s{i % 30}") for i in range(60)] + [(100, junk, "en", "s1"), (101, junk, "en", "rare"), (102, junk, "xx", "y"), (103, prose(), "xx", "y")]
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert got == {**dict.fromkeys(range(60), True), 100: False, 101: False, 102: False, 103: True}
+
+
+def test_licence_in_any_wrapping(spark):
+    head = "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n"
+    rows = [(w, head + textwrap.fill(licenses.KNOWN["MIT"], w)) for w in range(30, 130)]
+    rows += [(1, "(c) You must keep notices\nCopyright holders are named"), (2, "© Somebody"), (3, "Copyright 2001-2004 X"), (4, "(C) 1999 X"), (5, "Copyright © X")]
+    got = {r.n: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "n long, text string")).collect()}
+    assert all(got[w].license_id == "MIT" for w in range(30, 130))
+    assert got[1].canonical_chars == len("c you must keep notices copyright holders are named")
+    assert all(got[k].canonical_chars == 0 for k in (2, 3, 4, 5))
