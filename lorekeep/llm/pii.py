@@ -25,7 +25,7 @@ SYLLABLES = {
 #: Shapes in the order in which they are tried at a place of the text.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}+(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}+(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "card": r"(?<![\d.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -46,9 +46,9 @@ def kind_of(value: Column) -> Column:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """What mentions of one entity share: digits of numbers, an address in lower case, a name as it stands."""
+    """What mentions of one entity share: digits of numbers, an address or a hex secret in lower case, a name as it stands."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", F.lower(value)).otherwise(value)
+    return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind.isin("email", "secret"), F.lower(value)).otherwise(value)
 
 
 def nth(digest: Column, i: Column | int, size: int) -> Column:
@@ -110,10 +110,13 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 
 
 def in_format(kind: Column, value: Column, new: Column) -> Column:
-    """Digits of ``new`` laid over the digits of ``value``; other kinds are ``new`` as it is."""
+    """Digits of ``new`` laid over those of ``value``; a secret in the case of ``value``; other kinds are ``new`` as it is."""
     count = lambda i: F.char_length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), "[^0-9]", ""))
     laid = F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(new, count(i), F.lit(1))).otherwise(c))
-    return F.when(kind.isin("card", "ssn", "phone"), F.array_join(laid, "")).otherwise(new)
+    capital = lambda i: F.substr(value, i + 1, F.lit(1)).rlike("[A-F]")
+    mixed = F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(capital(i), F.upper(c)).otherwise(c)), "")
+    cased = F.when(~value.rlike("[A-F]"), new).when(~value.rlike("[a-f]"), F.upper(new)).otherwise(mixed)
+    return F.when(kind.isin("card", "ssn", "phone"), F.array_join(laid, "")).when(kind == "secret", cased).otherwise(new)
 
 
 def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:

@@ -1,10 +1,11 @@
 """What a review found to be done in part only."""
 
+import re
 import textwrap
 
 import numpy as np
 
-from lorekeep.llm import licenses, packing, quality
+from lorekeep.llm import licenses, packing, pii, quality
 
 
 def test_packing_solves_the_program():
@@ -38,3 +39,12 @@ def test_licence_in_any_wrapping(spark):
     assert all(got[w].license_id == "MIT" for w in range(30, 130))
     assert got[1].canonical_chars == len("c you must keep notices copyright holders are named")
     assert all(got[k].canonical_chars == 0 for k in (2, 3, 4, 5))
+
+
+def test_hex_secrets_of_either_case(spark):
+    h = "9233a8ecf7c5d01b7e44aa10c9f3e2b86d5f7a01"
+    mixed = h[:20].upper() + h[20:]
+    docs = spark.createDataFrame([(1, f"TOKEN = {h.upper()}!"), (2, f"token = {h}!"), (3, f"Token = {mixed}!")], "doc_id long, text string")
+    got = {r.doc_id: re.search(r"= (\w{40})!", r.text)[1] for r in pii.replace_pii(docs).collect()}
+    assert got[1] == got[2].upper() and got[2] == got[2].lower() != h
+    assert got[3].lower() == got[2] and all(not a.isupper() or b == b.upper() for a, b in zip(mixed, got[3]))
