@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most queries a k-NN join takes, and most neighbours of each; their matrix goes to every task.
+#: Most queries a k-NN join takes at a time, and most neighbours of each; a block's matrix goes to every task.
 MAX_QUERIES = MAX_NEIGHBOURS = 1000
 PLACES = 6
 
@@ -93,15 +95,21 @@ def token_hash_vectors(df: DataFrame, text_col: str, width: int = 64, out_col: s
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, ceiling: float | None = None) -> DataFrame:
     """J-28: (query_id, id, distance, place), the ``k`` nearest of ``vectors`` (id, vec) for each of ``queries`` (id, vec).
 
-    The queries, at most MAX_QUERIES, are the stated set that goes to every task; vectors are read once, in Arrow
+    The queries go to every task in blocks of at most MAX_QUERIES; vectors are read once for each block, in Arrow
     batches, each of which keeps its own ``k`` nearest of a query. Distances are rounded to 6 places, ties go by id,
     and pairs beyond ``ceiling`` are dropped. Vectors meet only those of their own width; null and zero vectors meet nothing.
     """
     if not 0 < k <= MAX_NEIGHBOURS:
         raise ValueError(f"k must be from 1 to {MAX_NEIGHBOURS}")
-    rows = queries.select("id", "vec").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"a k-NN join takes at most {MAX_QUERIES} queries")
+    rows = queries.select("id", "vec").toLocalIterator()
+    blocks = iter(lambda: list(islice(rows, MAX_QUERIES)), [])
+    parts = [near_block(vectors, block, k, ceiling) for block in blocks] or [near_block(vectors, [], k, ceiling)]
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return reduce(DataFrame.union, parts).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def near_block(vectors: DataFrame, rows: list, k: int, ceiling: float | None) -> DataFrame:
+    """(query_id, id, distance): of each Arrow batch of ``vectors`` the ``k`` nearest of each query row."""
     rows = [r for r in rows if r.vec is not None and np.linalg.norm(r.vec) > 0]
     by_width: dict[int, list] = {}
     for r in rows:
@@ -123,6 +131,4 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, ceiling: float | No
                     if len(keep):
                         yield pd.DataFrame({"query_id": ids[q], "id": names[keep], "distance": line[keep]})
 
-    pairs = vectors.select("id", "vec").mapInPandas(near, "query_id long, id long, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return vectors.select("id", "vec").mapInPandas(near, "query_id long, id long, distance double")

@@ -240,3 +240,12 @@ def test_small_sources(spark, tmp_path):
     assert [tuple(r) for r in records.workspace_map(spark, '[workspaces]\n"/w/a/" = 3').collect()] == [("/w/a", 3)]
     with pytest.raises(ValueError):
         records.workspace_map(spark, "x = 1")
+
+
+def test_knn_join_takes_any_number_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 3)))], "id long, vec array<double>")
+    rows = lambda: sorted(map(tuple, vectors.knn_join(df, df, 3).collect()))
+    whole = rows()
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 7)
+    assert rows() == whole and len(whole) == 180
