@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import quoted, saved
 
-#: Words whose ids a task remembers before it starts over, and bytes of text it takes at a time.
-CACHED_WORDS, BLOCK_BYTES = 300_000, 4 << 20
+#: Words whose ids a Python worker remembers, about 200 bytes each, and bytes of text it takes at a time.
+CACHED_WORDS, BLOCK_BYTES = 800_000, 4 << 20
 #: New words that the tokenizer gets at a time.
 AT_ONCE = 4096
 #: Marks at a word's end that the tokenizer always parts from a letter before them.
@@ -49,19 +49,25 @@ class Ids:
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def recalled(self, words: set[bytes]) -> set[bytes]:
+        """Those of ``words`` that the older half doesn't know either; the others are known from now on."""
+        again = words & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        return words - again
 
     def learn(self, words: set[bytes]) -> None:
+        if len(self.known) > CACHED_WORDS // 2:  # words that are not met again go with the older half
+            self.older, self.known = self.known, {}
         known = self.known
-        new = words - known.keys()
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = words
+        new = self.recalled(words - known.keys())
         parts = {}
         for w in new:
             body = w.rstrip(TAIL)
             if 0 < len(body) < len(w) and ends_in_letter(body.decode()[-1]):
                 parts[w] = body, w[len(body) :]
-        need = {p for pair in parts.values() for p in pair}.union(new).difference(parts, known)
+        need = self.recalled({p for pair in parts.values() for p in pair}.union(new).difference(parts, known))
         letters = [w for w in need if w.decode().isalpha()]
         need.difference_update(letters)
         for i in range(0, len(letters), AT_ONCE):
@@ -102,11 +108,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
+def shared_ids(path: str) -> Ids:
+    """One tokenizer and one memory of words for all tasks that a Python worker runs."""
+    return Ids(path)
+
+
 def pieces_of(docs: DataFrame, capacity: int, id_col: str, text_col: str, path: str | None, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut only where longer than ``capacity``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, end, step = Ids(path or tokenizer_path()), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        ids, end, step = shared_ids(path or tokenizer_path()), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
             for doc, raw in zip(batch["doc_id"], ids(batch["text"])):
@@ -120,11 +132,14 @@ def pieces_of(docs: DataFrame, capacity: int, id_col: str, text_col: str, path:
 
 
 def best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each length in the sequence of most value, by the knapsack recursion. ``value[l]`` is a piece's; 0: unused."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = value[1:][::-1]  # worth[capacity - l] is that of length l
+    """Counts of each length in the sequence of most value, by the knapsack recursion. ``value[l]`` is a piece's; 0: unused.
+
+    Of equal patterns the one with the longer pieces comes first.
+    """
+    best, last, room = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), np.empty(capacity)
+    worth = value[1:][::-1].copy()  # worth[capacity - l] is that of length l
     for c in range(1, capacity + 1):
-        gain = best[:c] + worth[capacity - c :]  # entry i: length c - i on top of i
+        gain = np.add(best[:c], worth[capacity - c :], out=room[:c])  # entry i: length c - i on top of i
         i = int(gain.argmax())
         if gain[i] > best[c - 1]:
             best[c], last[c] = gain[i], c - i
@@ -138,26 +153,6 @@ def best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best-fit decreasing over counts: the longest piece, then always the longest that still fits, as often as counts allow."""
-    left, out = left.copy(), []
-    while left.any():
-        pattern, room = np.zeros(capacity + 1, np.int64), capacity
-        while room > 0:
-            fits = np.flatnonzero(left[: room + 1] > pattern[: room + 1])
-            if not len(fits):
-                break
-            longest = int(fits[-1])
-            n = min(room // longest, int(left[longest] - pattern[longest]))
-            pattern[longest] += n
-            room -= n * longest
-        used = np.flatnonzero(pattern)
-        times = int((left[used] // pattern[used]).min())
-        left[used] -= times * pattern[used]
-        out.append((pattern, times))
-    return out
-
-
 def sequences(plan: list[tuple[np.ndarray, int]]) -> int:
     return sum(times for _, times in plan)
 
@@ -175,49 +170,69 @@ def capped_pattern(value: np.ndarray, counts: np.ndarray, capacity: int) -> np.n
     return out
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[np.ndarray, float]]:
-    """The program's fractional solution by multiplicative weights: patterns and how often each is used.
+def solved(counts: np.ndarray, capacity: int, rounds: int, rate: float) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """The program's fractional solution by multiplicative weights (patterns, uses), and a lower bound from its dual.
 
-    The histogram stays as it is. Each round uses the best pattern as often as its scarcest length allows, and a
-    length's price falls by exp(-rate) each time it is covered as a whole, without end. There are ``rounds`` rounds,
-    and then more, up to one for each length, until every length is covered. Where all are covered several times
-    over, the uses are scaled down to once.
+    A pass covers the histogram once. Each of its rounds uses the best pattern at the present prices as often as the
+    scarcest of its lengths allows, and a length that is covered leaves. Prices start at the share of a sequence that a
+    piece fills. A used pattern that is worth less than the best of all means that its lengths are too cheap: their
+    prices are multiplied by exp(rate * what it lacks), so that the next pass serves them earlier.
+
+    Prices that are divided by the value of their best pattern solve the dual program, so what all pieces cost at
+    them is no more than the least number of sequences. Passes end when the best of them is within half a sequence, or
+    a thousandth, of the bound, or after ``rounds`` rounds; a pass that has begun is finished.
     """
-    lengths, need = np.arange(capacity + 1), np.maximum(counts, 1)
-    covered, uses = np.zeros(capacity + 1), {}
-    for k in range(max(rounds, np.count_nonzero(counts)) if counts.any() else 0):
-        if k >= rounds and covered[counts > 0].min() >= 1 - 1e-9:
+    lengths, there = np.arange(capacity + 1), counts > 0
+    prices, solution, fewest, bound, spent = lengths / capacity, [], np.inf, 0.0, 0
+    while there.any():
+        prices = prices / (best_pattern(np.where(there, prices, 0.0), capacity) @ prices)
+        bound = max(bound, float(prices @ counts))
+        left, uses, dearer = counts.astype(float), [], prices.copy()
+        while (left > 0).any():
+            pattern = capped_pattern(prices, np.ceil(left).astype(np.int64), capacity)
+            used = np.flatnonzero(pattern)
+            times = (left[used] / pattern[used]).min()
+            left[used] -= times * pattern[used]
+            left[left < 1e-9] = 0.0
+            uses.append((pattern, float(times)))
+            dearer[used] *= np.exp(rate * max(0.0, 1.0 - float(pattern @ prices)))
+            spent += 1
+        prices, total = dearer, sum(x for _, x in uses)
+        if total < fewest:
+            solution, fewest = uses, total
+        if fewest <= bound + max(0.5, bound / 1000) or spent >= rounds:
             break
-        behind = covered - covered[counts > 0].min()
-        pattern = capped_pattern(lengths / capacity * np.exp(-rate * behind), counts, capacity)
-        used = np.flatnonzero(pattern)
-        step = (counts[used] / pattern[used]).min()
-        covered[used] += step * pattern[used] / need[used]
-        key = pattern.tobytes()
-        uses[key] = uses.get(key, 0.0) + step
-    scale = max(1.0, covered[counts > 0].min()) if uses else 1.0
-    return [(np.frombuffer(key, np.int64), x / scale) for key, x in uses.items()]
+    return solution, bound
+
+
+def fractional(counts: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[np.ndarray, float]]:
+    return solved(counts, capacity, rounds, rate)[0]
 
 
 def rounded(solution: list[tuple[np.ndarray, float]], counts: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
-    """Whole uses of whole patterns, the fullest first, and the pieces that are left over."""
-    left, plan = counts.copy(), []
-    for pattern, x in sorted(solution, key=lambda s: (-int((s[0] * np.arange(len(s[0]))).sum()), -s[1])):
+    """Whole uses of the patterns, and the pieces that are left over."""
+    plan = [(pattern, int(x + 1e-9)) for pattern, x in solution if x >= 1 - 1e-9]
+    return plan, counts - sum((p * t for p, t in plan), np.zeros_like(counts))
+
+
+def residue(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """What rounding left over: always the fullest pattern of the pieces still there, with the longest pieces first."""
+    left, out, full = left.copy(), [], np.arange(capacity + 1) / capacity
+    while left.any():
+        pattern = capped_pattern(full, left, capacity)
         used = np.flatnonzero(pattern)
-        times = min(int(x + 1e-9), int((left[used] // pattern[used]).min()))
-        if times:
-            left[used] -= times * pattern[used]
-            plan.append((pattern, times))
-    return plan, left
+        times = int((left[used] // pattern[used]).min())
+        left[used] -= times * pattern[used]
+        out.append((pattern, times))
+    return out
 
 
 def pack_histogram(counts: np.ndarray, capacity: int, rounds: int = 300, rate: float = 0.1) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used; together they hold exactly ``counts`` pieces of each length.
 
-    The program: fewest patterns that cover every length's count. Its fractional solution (see ``fractional``) is
-    always computed and rounded down; what that leaves is packed best-fit decreasing. All of it works on one count
-    for each length, whatever the number of pieces. Only where plain best-fit decreasing needs fewer sequences is that
-    taken instead.
+    The program: fewest patterns that cover every length's count. Its fractional solution (see ``solved``) is
+    rounded down, and only the pieces that this leaves over, less than one use of each pattern in the solution,
+    are packed by pricing what is left. All of it works on one count for each length, whatever the number of pieces.
     """
     counts = counts.astype(np.int64)
     plan, left = [], counts.copy()
@@ -226,10 +241,8 @@ def pack_histogram(counts: np.ndarray, capacity: int, rounds: int = 300, rate: f
         only[capacity] = 1
         plan.append((only, int(counts[capacity])))
         left[capacity] = 0
-    mixed, rest = rounded(fractional(left, capacity, rounds, rate), left)
-    mixed += best_fit(rest, capacity)
-    plain = best_fit(left, capacity)
-    return plan + (mixed if sequences(mixed) <= sequences(plain) else plain)
+    whole, rest = rounded(fractional(left, capacity, rounds, rate), left)
+    return plan + whole + residue(rest, capacity)
 
 
 def places(plan: list[tuple[np.ndarray, int]], counts: np.ndarray) -> dict[str, np.ndarray]:
