@@ -8,6 +8,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +44,16 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
-    """(doc, fp) for every row; fp is the fingerprint's 64 bits as a signed long."""
+    """(doc, fp) for every row, ids of any type; fp is the fingerprint's 64 bits as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t, shingle) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc": batch["doc"], "fp": found.view(np.int64)})
+            texts = batch.column("text").to_pylist()
+            found = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found.view(np.int64))], ["doc", "fp"])
 
-    pairs = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).cast("string").alias("text"))
-    return pairs.mapInPandas(run, "doc long, fp long")
+    pairs = docs.select(quoted(id_col).alias("doc"), quoted(text_col).cast("string").alias("text"))
+    return pairs.mapInArrow(run, f"doc {pairs.schema['doc'].dataType.simpleString()}, fp long")
 
 
 def ball(radius: int) -> np.ndarray:
@@ -198,7 +200,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """Keep the document with the smallest id of each group; rows with a null id stay, as nothing names them."""
+    """Keep the document with the smallest id of each group; rows with a null id stay, as nothing names them.
+
+    Rows that share the smallest id all stay; ``similar.drop_similar`` tells them apart by their texts.
+    """
     groups = near_duplicates(docs, id_col, text_col, shingle, radius)
     (gone,) = fresh(docs, "_gone")
     losers = groups.where("doc <> component").select(F.col("doc").alias(gone)).distinct()

@@ -67,3 +67,31 @@ def test_similar_odd_rows(spark):
     got = similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted([(r.doc, r.component) for r in got], key=str) == sorted([(None, 7), (7, 7), (7, 7), (9, 7), (None, None)], key=str)
     assert similar.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_loose_groups_meet_in_blocks(spark, monkeypatch):
+    """Texts near one base but mostly under 0.8 to each other: bands hold many components, some of which are linked."""
+    monkeypatch.setattr(similar, "BLOCK_TEXTS", 16)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 160)]
+    rows = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.choice(len(words), int(rng.integers(2, 6)), replace=False):
+            words[at] = f"v{rng.integers(0, 10**6)}"
+        rows.append((len(rows), " ".join(words)))
+        if len(rows) % 4 == 0:  # a text that is similar to this one alone
+            words[3] = "x"
+            rows.append((len(rows), " ".join(words)))
+    want = plain_similar(rows)
+    assert 5 < len(set(want.values())) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc: r.component for r in similar.similar(docs).collect()} == want
+
+
+def test_rows_that_share_id_and_text(spark):
+    rows = [("a", "one two three four five six", 1), ("a", "one two three four five six", 2), ("b", "one two three four five six", 3), (None, "One two three four five six", 4), (None, "q", 5), ("c", "z", 6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _h int").repartition(2)
+    kept = similar.drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([("a", rows[0][1]), (None, "q"), ("c", "z")], key=str)
