@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared checkpoint folder and read back."""
     common.use_checkpoints(spark)
-    folder = spark.sparkContext.getCheckpointDir()
+    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus_pipeline-{uuid4()}"
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/corpus_pipeline-{spark.sparkContext.applicationId}-{id(docs)}-{k}-{name}"
+        path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
     return docs
