@@ -24,6 +24,14 @@ MORE_M = "Andrew Anthony Antonio Bernd Charles Daniel Edward François Frank Geo
 FEMALE = tuple(GIVEN["latin", "f"] + GIVEN["cyrillic", "f"] + MORE_F)
 MALE = tuple(GIVEN["latin", "m"] + GIVEN["cyrillic", "m"] + MORE_M)
 WORD = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*"
+
+
+def branches(words: tuple[str, ...]) -> str:
+    """An alternation of words that looks at a first letter once."""
+    by = {c: sorted({w[1:] for w in words if w[0] == c}) for c in sorted({w[0] for w in words})}
+    return "|".join(f"{c}(?:{'|'.join(tails)})" for c, tails in by.items())
+
+
 #: Shapes in the order in which they are tried at a place of the text.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -33,11 +41,11 @@ SHAPES = {
     "card": r"(?<![\d.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\d)",
-    "name": rf"(?<![\p{{L}}])(?:(?:{'|'.join(TITLES)})\.? {WORD}(?: {WORD})?|(?:{'|'.join(sorted(set(FEMALE + MALE)))}) {WORD})",
+    "name": rf"(?<![\p{{L}}])(?=[\p{{Lu}}г])(?:(?:{branches(TITLES)})\.? {WORD}(?: {WORD})?|(?:{branches(FEMALE + MALE)}) {WORD})",
 }
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
 #: Texts without any of these have no entity.
-HINT = r"[0-9@]|sk-|gh[opsu]_|xox[abprs]-|A[KS]IA|(?:" + "|".join(sorted(set(TITLES + FEMALE + MALE))) + r")[. ]"
+HINT = r"[0-9@]|sk-|gh[opsu]_|xox[abprs]-|A[KS]IA|(?<!\p{L})(?=[\p{Lu}г])(?:" + branches(TITLES + FEMALE + MALE) + r")[. ]"
 NUMBERS = ("card", "ssn", "phone")
 #: What a character is replaced by another of. In names, vowels stay vowels and consonants consonants.
 PLAIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
