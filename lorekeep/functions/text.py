@@ -23,14 +23,14 @@ def marker_pattern(marker: str) -> str:
     first, middle, last = marker[0], marker[1:-1], marker[-1]
     if len(marker) == 1:
         turns = [rf"\p{{Ll}}{quote(first)}(?:$|[^{JOINING}])"] if first.isupper() else []
-        return "|".join([rf"(?:^|[^{JOINING}])(?i:{quote(first)})(?:$|[^{JOINING}])", *turns])
-    left = rf"(?:^|[^{JOINING}])(?i:{quote(first)})"
+        return "|".join([rf"(?:^|[^{JOINING}])(?iu:{quote(first)})(?:$|[^{JOINING}])", *turns])
+    left = rf"(?:^|[^{JOINING}])(?iu:{quote(first)})"
     if first.lower() != first.upper():
         left = rf"(?:{left}|\p{{Ll}}{quote(first.upper())})"
-    right = rf"(?i:{quote(last)})(?:$|[^{JOINING}])"
+    right = rf"(?iu:{quote(last)})(?:$|[^{JOINING}])"
     if last.lower() != last.upper():
         right = rf"(?:{right}|{quote(last.lower())}\p{{Lu}})"
-    return left + (rf"(?i:{quote(middle)})" if middle else "") + right
+    return left + (rf"(?iu:{quote(middle)})" if middle else "") + right
 
 
 def normal_path(path: Column) -> Column:
@@ -45,11 +45,11 @@ def glob_body(glob: str, paths: bool) -> str:
         if paths and glob.startswith("**/", i):
             out, i = out + "(?:[^/]*/)*", i + 3
         elif paths and glob.startswith("**", i):
-            out, i = out + ".*", i + 2
+            out, i = out + r"[^\n]*", i + 2
         elif glob[i] == "*":
-            out, i = out + ("[^/]*" if paths else ".*"), i + 1
+            out, i = out + ("[^/]*" if paths else r"[^\n]*"), i + 1
         elif glob[i] == "?":
-            out, i = out + ("[^/]" if paths else "."), i + 1
+            out, i = out + ("[^/]" if paths else r"[^\n]"), i + 1
         else:
             out, i = out + re.sub(r"([^\w\s/])", r"\\\1", glob[i]), i + 1
     return out
@@ -71,25 +71,46 @@ def text_pattern(pattern: str) -> str:
     return pattern[3:] if pattern.startswith("re:") else rf"^{glob_body(pattern, False)}\z"
 
 
-#: Shapes of secrets in one pass (fixed values): armoured keys, access key ids, named 40-character keys, bearer
-#: tokens, and credentials in addresses. Groups are what stays in front.
+#: The first letters of access key ids, by what they name (fixed values).
 ACCESS_KEY_PREFIXES = ("ABIA", "ACCA", "AGPA", "AIDA", "AIPA", "AKIA", "ANPA", "ANVA", "APKA", "AROA", "ASCA", "ASIA")
-SECRET = "|".join(
-    [
-        r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]{0,65536}?-----END [A-Z0-9 ]*PRIVATE KEY-----",
-        rf"(?<![A-Z0-9])(?:{'|'.join(ACCESS_KEY_PREFIXES)})[A-Z0-9]{{16}}(?![A-Z0-9])",
-        r"((?i:aws_?secret_?access_?key)[\"']?\s*[:=]\s*[\"']?)[A-Za-z0-9/+=]{40}(?![A-Za-z0-9/+=])",
-        r"((?i:\bbearer)\s+)[A-Za-z0-9._~+/=-]{16,}",
-        r"(://)[^\s/:@\[\]]+:[^\s/@\[\]]+(?=@)",
-    ]
-)
 #: Names whose values are secret, as whole words of a normalised key (fixed values).
-SENSITIVE_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "credentials", "authorization")
+SENSITIVE_NAMES = (
+    "access_key", "api_key", "apikey", "auth", "authorization", "cookie", "credential", "credentials", "dsn", "encryption_key",
+    "passphrase", "passwd", "password", "private_key", "pwd", "secret", "session_key", "signing_key", "ssh_key", "token",
+)
+
+
+def secret_pattern(placeholder: str = PLACEHOLDER) -> str:
+    """One search for the five shapes that a secret's own text shows; groups 1 to 3 are what stays in front of it.
+
+    Java and Python read it alike. What follows a name has exactly the length of such a key, so a rest that stands
+    against a placeholder is no key.
+    """
+    done = re.escape(placeholder)
+    key = "[0-9A-Za-z+/=]"
+    upper = "[0-9A-Z]"
+    name = "[-_ ]?".join(("aws", "secret", "access", "key"))
+    shapes = (
+        r"-----BEGIN [0-9A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [0-9A-Z ]*PRIVATE KEY-----",  # a whole armoured key, however long
+        rf"(?<!{upper})(?:{'|'.join(ACCESS_KEY_PREFIXES)}){upper}{{16}}(?!{upper})",  # an access key id
+        rf"((?i:{name})[\"']?\s*[=:]\s*[\"']?){key}{{40}}(?!{key}|{done})",  # a key of 40 characters under its name
+        r"((?i:bearer)[ \t]+[\"']?)[-.~+/_0-9A-Za-z]{16,}={0,2}",  # what a bearer shows
+        rf"(://)(?!{done}@)[^\s:@/?#]+:[^\s@/?#]*(?=@)",  # user and password in an address
+    )
+    return "|".join(shapes)
+
+
+SECRET = secret_pattern()
+
+
+def casefold(text: Column) -> Column:
+    """F-36: equal for texts that differ in case alone, as ß and SS or both small sigmas do."""
+    return F.translate(F.lower(F.upper(text)), "ς", "σ")
 
 
 def redact_secrets(text: Column, placeholder: str = PLACEHOLDER) -> Column:
     """F-12: secrets replaced, their lead kept. Twice gives the same as once. Null stays null."""
-    return F.regexp_replace(text, SECRET, "$1$2$3" + placeholder.replace("$", r"\$"))
+    return F.regexp_replace(text, secret_pattern(placeholder), "$1$2$3" + re.sub(r"([\\$])", r"\\\1", placeholder))
 
 
 def normal_key(key: Column) -> Column:
@@ -102,15 +123,17 @@ def is_sensitive_key(key: Column, extra: tuple[str, ...] = ()) -> Column:
     return normal_key(key).rlike("(?:^|_)(?:" + "|".join(SENSITIVE_NAMES + extra) + ")(?:_|$)")
 
 
-def redact_json(placeholder: str = PLACEHOLDER, extra: tuple[str, ...] = (), max_depth: int = 32):
-    """F-14: a pandas function over JSON texts, as their shape recurses: (value string, modified boolean).
+def redact_json(placeholder: str = PLACEHOLDER, extra: tuple[str, ...] = (), max_depth: int = 32, enabled: bool = True):
+    """F-14, UD-08: a function over columns of JSON texts, as their shape recurses: (value string, modified boolean).
 
     Strings lose secrets; under a sensitive key every string goes. Containers at ``max_depth`` become empty. Texts
-    that are not JSON, and null, come back as they are.
+    that are not JSON, and null, come back as they are; so do all where it is not ``enabled``.
     """
+    if not enabled:
+        return lambda c: F.struct((F.col(c) if isinstance(c, str) else c).alias("value"), F.lit(False).alias("modified"))
     names = re.compile("(?:^|_)(?:" + "|".join(SENSITIVE_NAMES + extra) + ")(?:_|$)")
     # Python writes a group's absence as an empty string too
-    shapes = re.compile(SECRET)
+    shapes = re.compile(secret_pattern(placeholder))
 
     def plain(key: str) -> str:
         key = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", key))
@@ -190,10 +213,10 @@ def removed_segments(before: Column, after: Column) -> Column:
 def rewrite_fault(before: Column, after: Column, erased: Column, low: float = 0.3, high: float = 2.0, kept: Column | None = None) -> Column:
     """F-25: why a replacement is refused, the first reason in order, or null: empty, names_erased, length_ratio, lost_marker."""
     ratio = F.char_length(after) / F.char_length(before)
-    lost = F.exists(kept, lambda m: F.contains(F.lower(before), F.lower(m)) & ~F.contains(F.lower(after), F.lower(m))) if kept is not None else F.lit(False)
+    lost = F.exists(kept, lambda m: F.contains(casefold(before), casefold(m)) & ~F.contains(casefold(after), casefold(m))) if kept is not None else F.lit(False)
     return (
         F.when(F.coalesce(F.trim(after), F.lit("")) == "", "empty")
-        .when(F.contains(F.lower(after), F.lower(erased)), "names_erased")
+        .when(F.contains(casefold(after), casefold(erased)), "names_erased")
         .when(~ratio.between(low, high), "length_ratio")
         .when(lost, "lost_marker")
     )
@@ -203,5 +226,5 @@ def strip_owner(text: Column, tokens: list[str]) -> Column:
     """F-26: without the owner's tokens and words that look like paths."""
     out = F.regexp_replace(text, r"\S*/\S+", "")
     for token in tokens:
-        out = F.regexp_replace(out, "(?i:" + re.sub(r"([^\w\s])", r"\\\1", token) + ")", "")
+        out = F.regexp_replace(out, "(?iu:" + re.sub(r"([^\w\s])", r"\\\1", token) + ")", "")
     return F.trim(F.regexp_replace(out, r"[ \t]+", " "))

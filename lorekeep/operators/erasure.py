@@ -49,11 +49,10 @@ def sweep(session, ledger, artifacts, bindings, edges, embedding, client: int, f
     low = below_floor(artifacts, bindings, client, floor)
     so_far = step(bound, 2, "derived_artifact", "artifact_id", F.col("content_digest")).union(step(low, 2, "derived_artifact", "artifact_id", F.col("content_digest")))
     roots = so_far.select(F.col("artifact_id").alias("node")).distinct()
-    below = graph.closure(graph.down(edges), roots)
     # events and sessions are roots too: artifacts made from them directly, and what descends from those
     direct = scoped(session, ledger, client)
     made = edges.join(direct, (F.col("parent_kind") == F.col("artifact_kind")) & (F.col("parent_id") == F.col("artifact_id")), "left_semi").select(F.col("child_id").alias("node")).distinct()
-    below = below.union(made).union(graph.closure(graph.down(edges), made)).distinct()
+    below = made.union(graph.closure(graph.down(edges), roots.union(made))).distinct()
     descendants = artifacts.join(below, F.col("artifact_id") == F.col("node"), "left_semi")
     so_far = so_far.union(step(descendants, 3, "derived_artifact", "artifact_id", F.col("content_digest")))
     vectors = embedding.join(so_far.select("artifact_id").distinct(), "artifact_id", "left_semi")

@@ -1,7 +1,8 @@
 """Provenance graph: closures with set semantics, layers, and guarded edges.
 
-Each round is a join on the edges' key and an anti-join with what is known; only the new nodes of a round are
-written, to the checkpoint folder. The number of rounds is the depth of what is reachable.
+Each round is several hops, every one a join on the edges' key; only a round's new nodes are written, to the
+checkpoint folder, after an anti-join with what is known. Rounds grow from one hop to HOPS, so a graph of depth d takes
+about d / HOPS of them.
 """
 
 from __future__ import annotations
@@ -14,27 +15,40 @@ from pyspark.sql import functions as F
 from ..session import saved
 
 MAX_ROUNDS = 10_000
+#: Most hops of one round, and most parts of what is known before they are put together.
+HOPS, PARTS = 8, 8
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """G-01, G-02, U-04: distinct nodes reachable from ``roots`` (node) over ``edges`` (src, dst).
 
     A root appears only if an edge leads to it; cycles end because known nodes are not visited again; null ends
-    and self-edges lead nowhere new. An empty set of roots reaches nothing.
+    and self-edges lead nowhere new. An empty set of roots reaches nothing. More than ``max_rounds`` rounds raise.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null")
-    frontier, parts = roots.select(F.col("node").alias("src")).distinct(), []
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    found = walk(edges, roots.select("node").distinct(), max_rounds)
+    return found if found is not None else edges.select(F.col("dst").alias("node")).where("false")
+
+
+def walk(edges: DataFrame, roots: DataFrame, max_rounds: int) -> DataFrame | None:
+    kept = saved(edges.repartition("src"))
+    frontier, parts, hops = saved(roots), [], 1
     for _ in range(max_rounds):
-        step = frontier.join(edges, "src").select(F.col("dst").alias("node")).distinct()
+        step, reached = frontier, []
+        for hop in range(1, hops + 1):
+            step = step.select(F.col("node").alias("src")).join(kept, "src").select(F.col("dst").alias("node")).distinct()
+            reached.append(step.withColumn("hop", F.lit(hop)))
+        new = reduce(DataFrame.union, reached).groupBy("node").agg(F.min("hop").alias("hop"))
         for part in parts:
-            step = step.join(part, "node", "left_anti")
-        step = saved(step)
-        if step.isEmpty():
-            return reduce(DataFrame.union, parts, step)
-        parts.append(step)
-        if len(parts) > 8:  # one known set instead of many small ones
+            new = new.join(part, "node", "left_anti")
+        new = saved(new)
+        if new.isEmpty():
+            return reduce(DataFrame.union, parts) if parts else None
+        parts.append(new.select("node"))
+        if len(parts) > PARTS:  # one known set instead of many small ones
             parts = [saved(reduce(DataFrame.union, parts))]
-        frontier = step.select(F.col("node").alias("src"))
+        # nodes of the earlier hops have been walked from already
+        frontier, hops = new.where(F.col("hop") == hops).select("node"), min(HOPS, 2 * hops)
     raise RuntimeError("the closure did not end")
 
 
@@ -56,18 +70,23 @@ def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """G-05, W-07: (node, layer), the longest path from a node without parents. A cycle raises."""
-    inner = edges.select("src", "dst").where("src <> dst")
+    """G-05, W-07: (node, layer), the longest path from a node without parents. A cycle, or a path of ``max_rounds`` edges, raises."""
+    inner = saved(edges.select("src", "dst").where("src <> dst").distinct().repartition("src"))
     level = saved(nodes.select("node").distinct().join(inner.select(F.col("dst").alias("node")), "node", "left_anti"))
-    out = [level.select("node", F.lit(0).alias("layer"))]
-    for i in range(1, max_rounds):
-        level = saved(level.join(inner, level["node"] == inner["src"]).select(F.col("dst").alias("node")).distinct())
-        if level.isEmpty():
-            found = reduce(DataFrame.union, out).groupBy("node").agg(F.max("layer").alias("layer"))
-            return found
-        out.append(level.select("node", F.lit(i).alias("layer")))
-        if len(out) > 8:
+    out, at, hops = [level.select("node", F.lit(0).alias("layer"))], 0, 1
+    while at < max_rounds:
+        steps = []
+        for hop in range(1, hops + 1):
+            level = level.select(F.col("node").alias("src")).join(inner, "src").select(F.col("dst").alias("node")).distinct()
+            steps.append(level.withColumn("layer", F.lit(at + hop)))
+        new = saved(reduce(DataFrame.union, steps))
+        if new.isEmpty():
+            return reduce(DataFrame.union, out).groupBy("node").agg(F.max("layer").alias("layer"))
+        out.append(new)
+        if len(out) > PARTS:
             out = [saved(reduce(DataFrame.union, out).groupBy("node").agg(F.max("layer").alias("layer")))]
+        at += hops
+        level, hops = new.where(F.col("layer") == at).select("node"), min(HOPS, 2 * hops)
     raise RuntimeError("the graph has a cycle")
 
 
@@ -131,13 +150,24 @@ def earliest_session(edges: DataFrame, ledger: DataFrame, session: DataFrame) ->
 
 
 def depths(tree: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """G-08: (node, depth) of a forest (node, parent); a parent that is absent makes a root."""
+    """G-08: (node, depth) of a forest (node, parent); a parent that is absent makes a root.
+
+    Ancestors double: each round a node's parent becomes its parent's parent, so rounds are the logarithm of the depth.
+    A cycle raises.
+    """
     rows = saved(tree.select("node", "parent"))
-    level = saved(rows.join(rows.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", F.lit(0).alias("depth")))
-    out = [level]
-    for i in range(1, max_rounds):
-        level = saved(rows.where("node <> parent").join(level.select(F.col("node").alias("parent")), "parent").select("node", F.lit(i).alias("depth")))
-        if level.isEmpty():
-            return reduce(DataFrame.union, out)
-        out.append(level)
+    there = rows.select(F.col("node").alias("parent")).distinct()
+    state = rows.join(there.withColumn("_there", F.lit(True)), "parent", "left").select(
+        "node", F.when(F.col("_there"), F.col("parent")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).alias("depth")
+    )
+    state = saved(state)
+    for _ in range(64):
+        if state.where("up is not null").isEmpty():
+            return state.select("node", "depth")
+        if not state.where("up = node").isEmpty() or not state.where(F.col("depth") > max_rounds).isEmpty():
+            break
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        state = saved(state.join(above, "up", "left").select("node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
     raise RuntimeError("the forest has a cycle")
+
+

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import marker_pattern
+from ..functions.text import JOINING, casefold, marker_pattern
+from ..session import saved
 
 #: Confidence of a claim by its method, and which method wins among equals (fixed values).
 SCOPE_CONFIDENCE, MARKER_CONFIDENCE = 1.0, 0.9
 PRECEDENCE = ("scope", "marker", "inherited", "residue")
+#: Markers of a roster that go to every task; more of them are joined by a shuffle.
+MAX_BROADCAST = 100_000
 
 
 def current(bindings: DataFrame) -> DataFrame:
@@ -44,22 +47,44 @@ def first_attribution(bindings: DataFrame) -> DataFrame:
     )
 
 
+def markers_found(artifacts: DataFrame, clients: DataFrame, boundary=marker_pattern) -> DataFrame:
+    """(artifact_id, client_id): which clients' marker words stand in which bodies at token boundaries.
+
+    A body's tokens are taken once and met with the first token of every marker in an equi-join, so work grows with
+    the texts and not with the roster; a marker of several tokens is then held against the body. Only markers whose
+    own first token changes case inside, which a body may write without the change, are tried on every body.
+    """
+    roster = clients.select("client_id", F.explode("markers").alias("marker")).select("client_id", F.trim("marker").alias("marker")).where("marker <> ''").distinct()
+    whole = F.regexp_extract("marker", rf"^[{JOINING}]+", 0)
+    roster = roster.withColumns({"_key": casefold(whole), "_single": whole == F.col("marker")})
+    roster = saved(roster.withColumn("_key", F.when(whole.rlike(r"\p{Ll}\p{Lu}"), "").otherwise(F.col("_key"))))
+    keyed = roster.where("_key <> ''")
+    if keyed.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        keyed = F.broadcast(keyed)
+    runs = F.regexp_extract_all(F.regexp_replace("body", r"(\p{Ll})(?=\p{Lu})", "$1\n"), F.lit(rf"[{JOINING}]+"), F.lit(0))
+    tokens = artifacts.select("artifact_id", F.explode(F.array_distinct(F.transform(runs, casefold))).alias("_key"))
+    met = tokens.join(keyed, "_key")
+    found = met.where("_single").select("artifact_id", "client_id")
+    patterns = {m: boundary(m) for m in [r[0] for r in roster.where("NOT _single OR _key = ''").select("marker").distinct().toLocalIterator()]}
+    if patterns:
+        shapes = roster.sparkSession.createDataFrame(sorted(patterns.items()), "marker string, _pattern string")
+        several = met.where("NOT _single").select("artifact_id", "client_id", "marker").distinct().join(shapes, "marker")
+        held = several.join(artifacts.select("artifact_id", "body"), "artifact_id").where(F.regexp_like("body", F.col("_pattern")))
+        odd = roster.where("_key = ''").join(shapes, "marker")
+        tried = artifacts.select("artifact_id", "body").join(F.broadcast(odd), F.regexp_like("body", F.col("_pattern"))) if not odd.isEmpty() else None
+        found = found.union(held.select("artifact_id", "client_id"))
+        found = found.union(tried.select("artifact_id", "client_id")) if tried is not None else found
+    return found.distinct()
+
+
 def detect(artifacts: DataFrame, clients: DataFrame, edges: DataFrame, bindings: DataFrame, boundary=marker_pattern) -> DataFrame:
     """D-04: the strongest claim of each client on each artifact (artifact_id, body, owner_client_id).
 
     Scope claims come from the owner, marker claims from a client's words in the body at a token boundary, inherited
-    ones from current bindings of direct parents. Equal confidence resolves by PRECEDENCE. Null bodies have no
-    markers. The clients' marker words are the small side: their patterns are part of the plan, not of the data.
+    ones from current bindings of direct parents. Equal confidence resolves by PRECEDENCE. Null bodies have no markers.
     """
     scope = artifacts.select("artifact_id", F.col("owner_client_id").alias("client_id"), F.lit("scope").alias("method"), F.lit(SCOPE_CONFIDENCE).alias("confidence"))
-    words: dict[str, list[int]] = {}
-    for row in clients.select("client_id", "markers").collect():  # the roster of tenants
-        for word in row.markers or []:
-            if word and word.strip():
-                words.setdefault(word.strip(), []).append(row.client_id)
-    body = F.coalesce("body", F.lit(""))
-    found = F.array(*[F.when(body.rlike(boundary(w)), F.array(*[F.lit(c).cast("long") for c in cs])) for w, cs in sorted(words.items())])
-    marked = artifacts.select("artifact_id", F.explode(F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull())))).alias("client_id"))
+    marked = markers_found(artifacts, clients, boundary)
     marked = marked.select("artifact_id", "client_id", F.lit("marker").alias("method"), F.lit(MARKER_CONFIDENCE).alias("confidence"))
     inherited = inherited_claims(edges, bindings).select("artifact_id", "client_id", F.lit("inherited").alias("method"), "confidence")
     rank = F.array_position(F.array(*[F.lit(m) for m in PRECEDENCE]), F.col("method"))
@@ -99,22 +124,34 @@ def record(bindings: DataFrame, submitted: DataFrame, at: Column) -> tuple[DataF
     return kept.unionByName(fresh), actions
 
 
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` written once in ranges of ``order``, each row with the number of its range in ``_part``.
+
+    Range bounds are sampled, so a plan that ran twice could draw them twice; what is read back has one set of them.
+    """
+    return saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def with_base(ranged: DataFrame, size: Column, start: int = 0, backwards: bool = False) -> DataFrame:
+    """Add ``_base``: ``start`` and the sizes of all ranges before a row's own, or behind it. One number for each range passes the driver."""
+    sums = sorted(((r[0], r[1] or 0) for r in ranged.groupBy("_part").agg(F.sum(size)).collect()), reverse=backwards)
+    base, out = start, []
+    for part, n in sums:
+        out.append((part, base))
+        base += n
+    spark = ranged.sparkSession
+    return ranged.join(F.broadcast(spark.createDataFrame(out, "_part int, _base long")), "_part")
+
+
 def numbered(rows: DataFrame, order: list[str], name: str, existing: DataFrame) -> DataFrame:
     """Ids after the greatest of ``existing``, in ``order``, without one task that ranks all rows.
 
     Rows are sorted into ranges, counted by range, and ranked inside their range.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = [r for r in ranged.groupBy("_part").count().collect()]
-    start, offsets = (existing.agg(F.max(name)).first()[0] or 0) + 1, {}
-    for r in sorted(counts):
-        offsets[r[0]] = start
-        start += r[1]
-    if not offsets:
-        return rows.withColumn(name, F.lit(None).cast("long"))
-    base = F.create_map(*[F.lit(x).cast("long") for pair in offsets.items() for x in pair])
+    start = (existing.agg(F.max(name)).first()[0] or 0) + 1
+    based = with_base(in_ranges(rows, order), F.lit(1), start)
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn(name, (base[F.col("_part").cast("long")] + place).cast("long")).drop("_part")
+    return based.withColumn(name, (F.col("_base") + place).cast("long")).select(*rows.columns, name)
 
 
 def withdraw(bindings: DataFrame, pairs: DataFrame, at: Column) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import numbered
+from .history import in_ranges, numbered, with_base
 
 #: Wire fields (fixed values), with those that may be left out last.
 REQUIRED = ("agent_cli", "category", "client_id", "id", "machine_id", "occurred_at", "payload", "redacted", "session_id")
@@ -43,6 +43,12 @@ def parse_batch(lines: DataFrame, line_col: str = "value") -> DataFrame:
     return rows.select(*[F.col(c) for c in lines.columns], reason.alias("reason"), *fields)
 
 
+def to_line(events: DataFrame) -> Column:
+    """S-09: the wire record of an event: its fields in order of name, optional ones only where they are not null."""
+    present = [c for c in sorted(REQUIRED + OPTIONAL) if c in events.columns]
+    return F.to_json(F.struct(*present))
+
+
 def embedding_state(text: Column) -> Column:
     """P-14: text waits for a vector; an empty text is none."""
     return F.when(F.coalesce(text, F.lit("")) != "", "pending").otherwise("not_required")
@@ -60,21 +66,26 @@ def implied_sessions(events: DataFrame) -> DataFrame:
 
 
 def bounded_tail(lines: DataFrame, order: str, line_col: str, max_bytes: int) -> DataFrame:
-    """S-10, W-05, A-20: the newest whole lines whose bytes, with a line break each, stay within the bound.
+    """S-10, W-05: the newest whole lines whose bytes, with a line break each, stay within the bound.
 
     Rows are ranged by ``order``; a range knows the bytes of the ranges after it, so no task ranks the whole spool.
     """
-    size = F.octet_length(line_col) + 1
-    ranged = lines.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    sums = sorted((r[0], r[1]) for r in ranged.groupBy("_part").agg(F.sum(size)).collect())
-    after, total = {}, 0
-    for part, n in reversed(sums):
-        after[part], total = total, total + (n or 0)
-    if not after:
-        return lines
-    base = F.create_map(*[F.lit(x).cast("long") for pair in after.items() for x in pair])
+    return tailed(lines, order, line_col, max_bytes).where("_kept").drop("_kept", "_bytes")
+
+
+def tailed(lines: DataFrame, order: str, line_col: str, max_bytes: int) -> DataFrame:
+    size = F.coalesce(F.octet_length(line_col), F.lit(0)) + 1
+    based = with_base(in_ranges(lines, [order]), size, backwards=True)
     own = F.sum(size).over(Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_tail", base[F.col("_part").cast("long")] + own).where(F.col("_tail") <= max_bytes).drop("_part", "_tail")
+    return based.withColumns({"_kept": F.col("_base") + own <= max_bytes, "_bytes": size}).select(*lines.columns, "_kept", "_bytes")
+
+
+def spool_sums(lines: DataFrame, order: str, line_col: str, max_bytes: int) -> DataFrame:
+    """A-20: lines and bytes that the bound keeps and discards."""
+    rows = tailed(lines, order, line_col, max_bytes)
+    of = lambda kept: [F.count_if(kept), F.coalesce(F.sum(F.when(kept, F.col("_bytes"))), F.lit(0))]
+    names = ["kept_lines", "kept_bytes", "discarded_lines", "discarded_bytes"]
+    return rows.agg(*[c.cast("long").alias(n) for c, n in zip([*of(F.col("_kept")), *of(~F.col("_kept"))], names)])
 
 
 def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:

@@ -161,7 +161,7 @@ def _(t):
     return t.ledger.select("event_id", *[text.normal_path(path).rlike(text.path_pattern(r)).alias(f"r{i}") for i, r in enumerate(rules)])
 
 
-@query("f11_markers", "SELECT artifact_id, regexp_matches(body, '" + text.marker_pattern("la").replace("'", "''") + "') AS la, regexp_matches(body, '" + text.marker_pattern("the").replace("'", "''") + "') AS the FROM derived_artifact")
+@query("f11_markers", "SELECT artifact_id, regexp_matches(body, '" + text.marker_pattern("la").replace("'", "''").replace("(?iu:", "(?i:") + "') AS la, regexp_matches(body, '" + text.marker_pattern("the").replace("'", "''").replace("(?iu:", "(?i:") + "') AS the FROM derived_artifact")
 def _(t):
     return t.derived_artifact.select("artifact_id", F.col("body").rlike(text.marker_pattern("la")).alias("la"), F.col("body").rlike(text.marker_pattern("the")).alias("the"))
 

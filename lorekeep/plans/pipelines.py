@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
 from ..functions import digests, text
@@ -150,7 +148,7 @@ def _(t):
 
 # --- attribution
 
-CASELESS_WORD = {w: text.marker_pattern(w) for w in MARKER_WORDS}
+CASELESS_WORD = {w: text.marker_pattern(w).replace("(?iu:", "(?i:") for w in (*MARKER_WORDS, *[f"NATION_{i}" for i in range(N_CLIENTS)])}
 
 
 def marked_sql() -> str:
@@ -169,8 +167,7 @@ def marked_sql() -> str:
     marked=marked_sql(),
 )
 def _(t):
-    words = t.client.withColumn("markers", F.filter("markers", lambda m: ~m.startswith("NATION_")))  # no text names a nation
-    return history.detect(t.derived_artifact, words, t.lineage_edge, t.client_binding)
+    return history.detect(t.derived_artifact, t.client, t.lineage_edge, t.client_binding)
 
 
 SUBMITTED = "SELECT artifact_id, (artifact_id * 7 + 1) % 25 AS client_id, CASE WHEN artifact_id % 2 = 0 THEN 'marker' ELSE 'inherited' END AS method, 0.85::DOUBLE AS confidence FROM derived_artifact UNION ALL SELECT artifact_id, 25, 'marker', 0.9 FROM derived_artifact WHERE artifact_id % 4 = 0"
@@ -219,17 +216,11 @@ SWEPT = {
 }
 
 
-@cache
-def _swept(spark_id: str, sf_dir: str, spark):
-    from ..sources.tables import Tables
-
-    t = Tables(spark, sf_dir)
-    return saved(erasure.sweep(t.session, t.ledger, t.derived_artifact, t.client_binding, t.lineage_edge, t.embedding, CLIENT))
-
-
 def swept(t):
-    """The candidates of one run, computed once in a session as a run's phases share them."""
-    return _swept(t.spark.sparkContext.applicationId, t.sf_dir, t.spark)
+    """The candidates of one composed run, computed once for all its phases."""
+    if not hasattr(t, "swept"):
+        t.swept = saved(erasure.sweep(t.session, t.ledger, t.derived_artifact, t.client_binding, t.lineage_edge, t.embedding, CLIENT))
+    return t.swept
 
 
 @query("c02_sweep", "SELECT artifact_kind, artifact_id, selection_reason FROM candidate", **SWEPT)
