@@ -7,15 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted
+from .common import fresh, quoted, saved
 
 #: What separates words: every ASCII character but digits and letters; A-Z become a-z.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: Benchmarks beyond so many windows are scanned in blocks of this many.
-MAX_WINDOWS = 2_000_000
+#: Most windows that go to every task, at some 300 bytes each; larger benchmarks are joined.
+MAX_WINDOWS = 250_000
+#: A window may stand in a third of all documents, so its rows are dealt to this many tasks.
+SALTS = 16
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -24,7 +28,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The set of item windows that goes to every task: at most MAX_WINDOWS of them.
+    """A set of item windows: those of a small benchmark in every task, or the candidates of one document.
 
     Words are numbered; a window is a row of numbers. A rolling hash finds candidates, the numbers verify them.
     """
@@ -77,20 +81,45 @@ class Windows:
         return len(ids), hit, items
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, max_windows: int) -> Iterator[Windows]:
-    """The benchmark's window sets, one if it is small enough to send to every task, else one a block of items."""
-    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    rows = benchmark.select(quoted(item_col).cast("string"), text, (F.octet_length(text) / 2 + 1).alias("_most")).toLocalIterator()
-    block, held = [], 0.0
-    for item, body, most in rows:
-        if block and held + most > max_windows:
-            yield Windows(block, width)
-            block, held = [], 0.0
-        if item is not None:
-            block.append((item, body))
-            held += most
-    if block:
-        yield Windows(block, width)
+def window_keys(words: list[bytes], n: int) -> np.ndarray:
+    """The rolling hash of every ``n`` words in a row, the same in every task."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return Windows.hashes([hashes[k : len(words) - n + 1 + k] for k in range(n)]).view(np.int64) if len(words) >= n > 0 else np.zeros(0, np.int64)
+
+
+def item_windows(items: DataFrame, width: int) -> DataFrame:
+    """(key, n, item, words) for every distinct window of ``items`` (item, body)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, body in zip(batch["item"], batch["body"]):
+                words = words_of(body)
+                n = min(width, len(words))
+                rows += [(k, n, item, b" ".join(words[i : i + n]).decode(errors="replace")) for i, k in enumerate(window_keys(words, n).tolist())]
+            yield pd.DataFrame(rows, columns=["key", "n", "item", "words"])
+
+    return items.mapInPandas(run, "key long, n int, item string, words string").distinct()
+
+
+def candidates(keyed: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc, h1, h2, near) for documents (doc, h1, h2, text) of which a window's hash is an item's; ``near`` has items and words.
+
+    One hash for each place of a text is shuffled, with salt, to the windows of that hash.
+    """
+    kind = keyed.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [words_of(t) for t in batch.column("text").to_pylist()]
+            keys = [np.unique(np.concatenate([window_keys(w, n) for n in lengths])) for w in texts]
+            own = [batch.column(c) for c in ("doc", "h1", "h2")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.list_(pa.int64()))], ["doc", "h1", "h2", "keys"])
+
+    placed = keyed.mapInArrow(run, f"doc {kind}, h1 long, h2 long, keys array<long>").distinct()
+    placed = placed.select("doc", "h1", "h2", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("h1", "h2"), F.lit(SALTS)).cast("int"))
+    salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return placed.join(salted, ["key", "salt"]).groupBy("doc", "h1", "h2").agg(F.collect_set(F.struct("item", "words")).alias("near"))
 
 
 def decontaminate(
@@ -105,32 +134,48 @@ def decontaminate(
 ) -> DataFrame:
     """Add n_words, n_hit, n_items, items (sorted as strings), hit_words (positions) and contaminated to documents.
 
-    A window is ``width`` consecutive words of an item, or the whole item if it is shorter. Tasks get the set of
-    windows as a broadcast whose size is bounded by ``max_windows``; a larger benchmark is held in several
-    broadcasts, read one after another by each batch of documents. Null and empty texts have no words; items
-    without words or without an id have no windows; an empty benchmark hits nothing. Other columns pass through.
+    A window is ``width`` consecutive words of an item, or the whole item if it is shorter. A benchmark that can't have
+    more than ``max_windows`` of them goes to every task as a hash set; a larger one never leaves its partitions: its
+    windows meet the documents' by their hashes, and every document is then held against the windows that it met. Either
+    way words decide. Null and empty texts have no words; items without words or without an id have no windows; an
+    empty benchmark hits nothing. Ids may be of any type. Other columns pass through; those of the input that have a
+    result's name are replaced.
     """
-    spark = docs.sparkSession
-    sets = [spark.sparkContext.broadcast(w) for w in blocks(benchmark, item_col, item_text_col, width, max_windows)]
     new = ["n_words", "n_hit", "n_items", "items", "hit_words", "contaminated"]
     docs = docs.drop(*[c for c in new if c in docs.columns])
-    (found,) = fresh(docs, "_found")
-
-    @F.pandas_udf("n_words long, n_hit long, items array<string>, hit_words array<int>")
-    def scanned(texts: pd.Series) -> pd.DataFrame:
-        n, hits, items = [0] * len(texts), [None] * len(texts), [set() for _ in texts]
-        for part in sets:
-            windows = part.value
-            for k, text in enumerate(texts):
-                n[k], hit, own = windows.scan(text)
-                hits[k] = hit if hits[k] is None else hits[k] | hit
-                items[k] |= own
-        if not sets:
-            n = [len(words_of(t)) for t in texts]
-        places = [np.flatnonzero(h).astype(np.int32) if h is not None else np.zeros(0, np.int32) for h in hits]
-        return pd.DataFrame({"n_words": n, "n_hit": [len(p) for p in places], "items": [sorted(x) for x in items], "hit_words": places})
-
-    out = docs.withColumn(found, scanned(quoted(text_col).cast("string")))
+    found, near, h1, h2, rid, j1, j2 = fresh(docs, "_found", "_near", "_h1", "_h2", "_rid", "_j1", "_j2")
+    body = F.coalesce(quoted(item_text_col).cast("string"), F.lit(""))
+    items = benchmark.select(quoted(item_col).cast("string").alias("item"), body.alias("body")).where("item is not null")
+    most = items.agg(F.sum(F.floor(F.octet_length("body") / 2) + 1)).first()[0] or 0
+    text = quoted(text_col).cast("string")
+    fields = "n_words long, n_hit long, items array<string>, hit_words array<int>"
+
+    def told(results: list[tuple[int, np.ndarray, set[str]]]) -> pd.DataFrame:
+        places = [np.flatnonzero(hit).astype(np.int32) for _, hit, _ in results]
+        return pd.DataFrame({"n_words": [n for n, _, _ in results], "n_hit": [len(p) for p in places], "items": [sorted(x) for _, _, x in results], "hit_words": places})
+
+    if most <= max_windows:
+        whole = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], width))  # bounded by max_windows
+
+        @F.pandas_udf(fields)
+        def scanned(texts: pd.Series) -> pd.DataFrame:
+            return told([whole.value.scan(t) for t in texts])
+
+        out = docs.withColumn(found, scanned(text))
+    else:
+        windows = saved(item_windows(items, width))
+        lengths = [r[0] for r in windows.select("n").distinct().collect()]
+        marked = docs.withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit(1), text)})
+        keyed = marked.select(quoted(id_col).alias("doc"), F.col(h1).alias("h1"), F.col(h2).alias("h2"), text.alias("text"))
+        met = candidates(keyed, windows, lengths or [width]).toDF(rid, j1, j2, near)
+        joined = marked.join(met, quoted(id_col).eqNullSafe(met[rid]) & (F.col(h1) == F.col(j1)) & (F.col(h2) == F.col(j2)), "left")
+
+        @F.pandas_udf(fields)
+        def held(texts: pd.Series, nears: pd.Series) -> pd.DataFrame:
+            none = Windows([], width)
+            return told([(none if own is None or not len(own) else Windows([(w["item"], w["words"]) for w in own], width)).scan(t) for t, own in zip(texts, nears)])
+
+        out = joined.withColumn(found, held(text, F.col(near)))
     return out.select(
         *[quoted(c) for c in docs.columns],
         F.col(found)["n_words"].alias("n_words"),
