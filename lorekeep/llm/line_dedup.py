@@ -29,11 +29,12 @@ def dedup_lines(
 
     Null or empty text is one empty line and comes back as an empty text. A null id is one document that
     comes after all others. Rows that share an id are one document; each row is treated with its own text.
-    Lines repeated inside a single document stay. Extra columns pass through.
+    Lines repeated inside a single document stay. Extra columns pass through; those with the name of a count are replaced.
     """
     text, doc = F.coalesce(quoted(text_col).cast("string"), F.lit("")), quoted(id_col)
-    rid, fp, fp2, pos, line, k1, k2, first, drop, salt, parts = fresh(
-        docs, "_rid", "_fp", "_fp2", "_pos", "_line", "_k1", "_k2", "_first", "_drop", "_salt", "_parts"
+    docs = docs.drop(*[c for c in (n_lines_col, n_dropped_col) if c in docs.columns])
+    rid, fp, fp2, pos, line, k1, k2, first, drop, salt, parts, last, null, many, dfp, dfp2 = fresh(
+        docs, *"_rid _fp _fp2 _pos _line _k1 _k2 _first _drop _salt _parts _last _null _many _dfp _dfp2".split()
     )
     marked = docs.withColumns({text_col: text, fp: F.xxhash64(text), fp2: F.xxhash64(F.lit(1), text)})
 
@@ -44,11 +45,11 @@ def dedup_lines(
     keyed = keyed.select(rid, fp, fp2, pos, F.xxhash64(line).alias(k1), F.xxhash64(F.lit(1), F.col(line)).alias(k2))
 
     if min_docs == 2:  # two different ids are enough, and their minimum and maximum combine on the map side
-        ids = keyed.groupBy(k1, k2).agg(F.min(rid).alias(first), F.max(rid).alias("_last"), F.max(F.col(rid).isNull()).alias("_null"))
-        shared = ids.where((F.col(first) != F.col("_last")) | (F.col(first).isNotNull() & F.col("_null")))
+        ids = keyed.groupBy(k1, k2).agg(F.min(rid).alias(first), F.max(rid).alias(last), F.max(F.col(rid).isNull()).alias(null))
+        shared = ids.where((F.col(first) != F.col(last)) | (F.col(first).isNotNull() & F.col(null)))
     else:
         per_doc = keyed.select(k1, k2, rid).distinct()
-        shared = per_doc.groupBy(k1, k2).agg(F.min(rid).alias(first), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
+        shared = per_doc.groupBy(k1, k2).agg(F.min(rid).alias(first), F.count(F.lit(1)).alias(many)).where(F.col(many) >= min_docs)
     shared = shared.select(k1, k2, first, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
 
     dealt = keyed.withColumn(salt, F.pmod(F.xxhash64(rid, fp), F.lit(SALTS)).cast("int"))
@@ -57,12 +58,12 @@ def dedup_lines(
         .where(~F.col(rid).eqNullSafe(F.col(first)))
         .groupBy(rid, fp, fp2)
         .agg(F.array_distinct(F.collect_list(pos)).alias(drop))
-        .withColumnsRenamed({fp: "_dfp", fp2: "_dfp2"})
+        .withColumnsRenamed({fp: dfp, fp2: dfp2})
     )
 
     whole = marked.join(
         dropped,
-        doc.eqNullSafe(dropped[rid]) & (marked[fp] == dropped["_dfp"]) & (marked[fp2] == dropped["_dfp2"]),
+        doc.eqNullSafe(dropped[rid]) & (marked[fp] == dropped[dfp]) & (marked[fp2] == dropped[dfp2]),
         "left",
     )
     whole = whole.withColumn(parts, F.split(quoted(text_col), "\n", -1))

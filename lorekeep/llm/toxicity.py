@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import fresh, quoted
 
 #: Labelled documents the classifier is fitted on at most, those with the least hashes of their ids.
 MAX_TRAINING = 12_000
@@ -119,10 +119,10 @@ def fit(bags: list[tuple[int, list[list[int]]]], rounds: int = 400, rate: float
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_training: int = MAX_TRAINING) -> Model:
     """Fit on at most ``max_training`` labelled documents that are not held out; their hashed features reach the driver."""
-    usable = labels.select(quoted(id_col).cast("long").alias("doc"), quoted(label_col).cast("int").alias("label"))
+    usable = labels.select(quoted(id_col).alias("doc"), quoted(label_col).cast("int").alias("label"))
     usable = usable.where(F.col("label").isin(0, 1) & ~held_out(F.col("doc")))
     usable = usable.groupBy("doc").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc"), "doc").limit(max_training)
-    texts = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).cast("string").alias("text"))
+    texts = docs.select(quoted(id_col).alias("doc"), quoted(text_col).cast("string").alias("text"))
     chosen = texts.join(F.broadcast(usable), "doc")  # bounded by max_training
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,9 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 }
             )
 
-    rows = chosen.mapInPandas(hashed, "doc long, label int, ends binary, ids binary").collect()
+    chosen = chosen.withColumn("doc", F.col("doc").cast("string"))
+    rows = chosen.mapInPandas(hashed, "doc string, label int, ends binary, ids binary").collect()
     bags = []
-    for r in sorted(rows, key=lambda r: (r.doc, r.ids)):
+    for r in sorted(rows, key=lambda r: (len(r.doc), r.doc, r.ids)):
         ids, ends = np.frombuffer(r.ids, np.int32), np.frombuffer(r.ends, np.int32)
         bags.append((r.label, [x.tolist() for x in np.split(ids, ends[:-1])] if len(ends) else []))
     return fit(bags)
@@ -163,7 +164,8 @@ def score_toxicity(
 
     Only texts are scored. Null and empty texts are one empty sentence. Labels that are null or not 0 or 1 teach
     nothing; a document labelled twice counts once, as toxic if either says so. Without labels of both kinds
-    every sentence scores the base rate. Columns of the input that have a result's name are replaced.
+    every sentence scores the base rate. Ids may be of any type that both tables share. Columns of the input that
+    have a result's name are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, max_training))
     new = ["held_out", "score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score"]
@@ -175,8 +177,9 @@ def score_toxicity(
         for texts in batches:
             yield pd.DataFrame([score(t) for t in texts], columns=["score", "n_sentences", "worst_start", "worst_end", "worst_score"])
 
-    out = docs.withColumn("_scored", scored(quoted(text_col).cast("string")))
-    s = F.col("_scored")
+    (one,) = fresh(docs, "_scored")
+    out = docs.withColumn(one, scored(quoted(text_col).cast("string")))
+    s = F.col(one)
     return out.select(
         *[quoted(c) for c in docs.columns],
         held_out(quoted(id_col)).alias("held_out"),
