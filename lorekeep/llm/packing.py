@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,18 +117,21 @@ def shared_ids(path: str) -> Ids:
 def pieces_of(docs: DataFrame, capacity: int, id_col: str, text_col: str, path: str | None, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut only where longer than ``capacity``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end, step = shared_ids(path or tokenizer_path()), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
-            for doc, raw in zip(batch["doc_id"], ids(batch["text"])):
+            for k, raw in enumerate(ids(batch.column("text").to_pylist())):
                 raw += end
-                rows += [(doc, i // step, i // 4, len(raw[i : i + step]) // 4, zlib.crc32(raw[i : i + step])) for i in range(0, len(raw), step)]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64", "ids_crc32": "int64"})
+                rows += [(k, i // step, i // 4, len(raw[i : i + step]) // 4, zlib.crc32(raw[i : i + step])) for i in range(0, len(raw), step)]
+            at, *columns = zip(*rows) if rows else [()] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            arrays = [batch.column("doc_id").take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    plain = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return plain.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    plain = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    return plain.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
@@ -279,7 +282,7 @@ def pack(
     A document is its token ids and a closing id 0; null and empty texts are the closing id alone. Sequences have
     no gaps and at most ``capacity`` ids. Pieces go to the tasks of their length and a salt for their ranks; only
     one count for each length reaches the driver, and the plan that goes back has a few runs for each length.
-    Rows that share an id are packed each on their own; an empty table gives no rows.
+    Rows that share an id are packed each on their own; ids may be of any type that sorts; an empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = saved(pieces_of(docs, capacity, id_col, text_col, tokenizer_file))
@@ -296,19 +299,20 @@ def pack(
     ranked = dealt.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(cells), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             whole = p["before"][length] + rank
             run = np.searchsorted(p["first"], whole, "right") - 1
             turn = whole - p["first"][run]
-            batch["sequence_id"] = p["sequence"][run] + turn // p["each"][run]
-            batch["offset"] = p["offset"][run] + turn % p["each"][run] * length
-            yield batch.drop(columns="rank").astype({"doc_id": "Int64"})
+            sequence = p["sequence"][run] + turn // p["each"][run]
+            offset = p["offset"][run] + turn % p["each"][run] * length
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names)
 
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInPandas(put, kinds)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    kind = ranked.schema["doc_id"].dataType.simpleString()
+    return ranked.mapInArrow(put, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
