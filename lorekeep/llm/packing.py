@@ -177,16 +177,17 @@ def solved(counts: np.ndarray, capacity: int, rounds: int, rate: float) -> tuple
     """The program's fractional solution by multiplicative weights (patterns, uses), and a lower bound from its dual.
 
     A pass covers the histogram once. Each of its rounds uses the best pattern at the present prices as often as the
-    scarcest of its lengths allows, and a length that is covered leaves. Prices start at the share of a sequence that a
-    piece fills. A used pattern that is worth less than the best of all means that its lengths are too cheap: their
+    scarcest of its lengths allows, and a length that is covered leaves. Prices start at the share x of a sequence that
+    a piece fills, and a third of its square more, as long pieces find fewer partners. A used pattern that is worth less than the best of all means that its lengths are too cheap: their
     prices are multiplied by exp(rate * what it lacks), so that the next pass serves them earlier.
 
     Prices that are divided by the value of their best pattern solve the dual program, so what all pieces cost at
-    them is no more than the least number of sequences. Passes end when the best of them is within half a sequence, or
+    them is no more than the least number of sequences; so is their volume, the cost at prices x. Passes end when the best of them is within half a sequence, or
     a thousandth, of the bound, or after ``rounds`` rounds; a pass that has begun is finished.
     """
     lengths, there = np.arange(capacity + 1), counts > 0
-    prices, solution, fewest, bound, spent = lengths / capacity, [], np.inf, 0.0, 0
+    share = lengths / capacity
+    prices, solution, fewest, bound, spent = share + share**2 / 3, [], np.inf, float(share @ counts), 0
     while there.any():
         prices = prices / (best_pattern(np.where(there, prices, 0.0), capacity) @ prices)
         bound = max(bound, float(prices @ counts))

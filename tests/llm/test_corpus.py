@@ -87,7 +87,7 @@ def test_sharding_moves_little():
     home = lambda n: {(c, f + i): s for c, parts in sharding.allot(counts, n).items() for f, k, s, _ in parts for i in range(k)}
     a, b = home(20), home(21)
     assert a.keys() == b.keys()
-    assert sum(a[k] != b[k] for k in a) < 0.4 * len(a)  # all but 1/20 would move by hash modulo
+    assert sum(a[k] != b[k] for k in a) <= 2 / 21 * len(a)  # all but 1/20 would move by hash modulo
 
 
 def words(text):
@@ -151,8 +151,9 @@ def test_simhash_components(spark, odd):
     want = sorted(zip([r.doc_id for r in rows], fps, plain_components([r.doc_id for r in rows], fps)), key=str)
     got = [(r.doc, r.fp % (1 << 64), r.component) for r in simhash.near_duplicates(docs).collect()]
     assert sorted(got, key=str) == want
-    kept = simhash.drop_near_duplicates(odd).collect()
-    assert {r.doc_id for r in kept} >= {1, 3} and 10 not in {r.doc_id for r in kept if r.doc_id != 9} or True
+    own = odd.collect()
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(odd).collect()}
+    assert kept == set(plain_components([r.doc_id for r in own], [plain_fingerprint(r.text) for r in own])) | {None}
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
