@@ -9,9 +9,11 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Most queries a k-NN join takes at a time, and most neighbours of each; a block's matrix goes to every task.
 MAX_QUERIES = MAX_NEIGHBOURS = 1000
 PLACES = 6
@@ -132,3 +134,60 @@ def near_block(vectors: DataFrame, rows: list, k: int, ceiling: float | None) ->
                         yield pd.DataFrame({"query_id": ids[q], "id": names[keep], "distance": line[keep]})
 
     return vectors.select("id", "vec").mapInPandas(near, "query_id long, id long, distance double")
+
+
+class CellIndex:
+    """V-03, index form: vectors dealt to the cells of centroids, and how many cells a search opens.
+
+    ``rows`` is (id, vec, cell) of every vector that has a direction, in the shared checkpoint folder, in files by cell.
+    """
+
+    def __init__(self, centroids: np.ndarray, rows: DataFrame, probes: int):
+        self.centroids, self.rows, self.probes = centroids, rows, probes
+
+    def search(self, query: list[float], k: int, ceiling: float | None = None, probes: int | None = None) -> DataFrame:
+        """(id, distance), the ``k`` nearest in the opened cells; distances are exact. Only the files of those cells are read."""
+        q = np.asarray(query, float) / np.linalg.norm(query)
+        cells = np.argsort(-(self.centroids @ q), kind="stable")[: probes or self.probes].tolist()
+        found = near_block(self.rows.where(F.col("cell").isin(cells)), [Row(id=0, vec=list(query))], k, ceiling)
+        return found.select("id", "distance").orderBy("distance", "id").limit(k)
+
+
+def cell_index(vectors: DataFrame, cells: int = 64, sample: int = 20_000, rounds: int = 10, k: int = 10, recall: float = 0.95) -> CellIndex:
+    """Centroids are fitted on the ``sample`` vectors of the least id hashes; every vector of their width is indexed.
+
+    The number of cells to open is the least with which 100 of the sample find ``recall`` of their ``k`` nearest in it.
+    """
+    rows = vectors.select("id", "vec").where("vec is not null")
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["vec"]  # bounded by ``sample``
+    some = [np.asarray(v, float) for v in some]
+    some = np.stack([v for v in some if len(v) == len(some[0]) and np.linalg.norm(v) > 0])
+    some /= np.linalg.norm(some, axis=1)[:, None]
+    centroids = some[np.linspace(0, len(some) - 1, min(cells, len(some))).astype(int)]
+    for _ in range(rounds):
+        own = (some @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, some)
+        size = np.linalg.norm(sums, axis=1)
+        centroids = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-12)[:, None], centroids)
+    own = (some @ centroids.T).argmax(axis=1)
+    tried = some[np.linspace(0, len(some) - 1, min(100, len(some))).astype(int)]
+    nearest = np.argsort(-(tried @ some.T), axis=1, kind="stable")[:, :k]
+    order = np.argsort(-(tried @ centroids.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    needed = np.sort(np.take_along_axis(place, own[nearest], axis=1).ravel())
+    probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    width = centroids.shape[1]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = batch[[len(v) == width and np.linalg.norm(v) > 0 for v in batch["vec"]]]
+            if len(good):
+                yield good.assign(cell=(np.stack(good["vec"].to_list()).astype(float) @ centroids.T).argmax(axis=1).astype("int32"))
+
+    kind = rows.schema["vec"].dataType.simpleString()
+    spark = vectors.sparkSession
+    path = shared_folder(spark, "cells")
+    rows.mapInPandas(deal, f"id {rows.schema['id'].dataType.simpleString()}, vec {kind}, cell int").repartition("cell").write.partitionBy("cell").parquet(path)
+    return CellIndex(centroids, spark.read.parquet(path), probes)

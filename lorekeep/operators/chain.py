@@ -94,9 +94,10 @@ def hourly_tips(chained: DataFrame, hours: int = 1) -> DataFrame:
 def root_digest(tips: DataFrame, *keys: str) -> DataFrame:
     """A-17: one digest of the (session, digest) pairs in order of session, for each of ``keys``.
 
-    Pairs are first folded to one digest for each of 4096 session ranges' hashes; so no group grows with the log.
+    Pairs are first folded to one digest for each of 4096 cells, by the first digits of the session's own digest; so no
+    group grows with the log.
     """
-    leaf = tips.withColumn("_cell", F.pmod(F.xxhash64("session_id"), F.lit(4096)))
+    leaf = tips.withColumn("_cell", F.substring(F.sha2(F.col("session_id").cast("string"), 256), 1, 3))
     text = lambda pairs: F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["k"].cast("string"), p["d"])), ",")
     pairs = lambda k, d: F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(d).alias("d"))))
     cells = leaf.groupBy(*keys, "_cell").agg(pairs("session_id", "terminal_digest").alias("p"), F.count(F.lit(1)).alias("n"))

@@ -74,3 +74,13 @@ def procedures(artifacts: DataFrame, retrievals: DataFrame, outcomes: DataFrame)
     rows = artifacts.where("kind = 'learned_procedure'").select(F.col("artifact_id").alias("procedure_id"), "confidence")
     joined = rows.join(r, "procedure_id", "left").join(o, "procedure_id", "left")
     return joined.select("procedure_id", "confidence", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("retrievals", "succeeded", "failed")])
+
+
+def session_detail(session: DataFrame, ledger: DataFrame) -> DataFrame:
+    """C-13: each session with its events by category (a map), its last event and what it cost."""
+    by = ledger.groupBy("session_id", "category").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("seq", "event_id")).alias("last"))
+    one = by.groupBy("session_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"), F.sum("n").alias("events"), F.max("last").alias("last")
+    )
+    head = session.select("session_id", "client_id", "outcome", F.col("cost_usd").cast("double").alias("cost"))
+    return head.join(one, "session_id", "left").select("session_id", "client_id", "outcome", "cost", F.coalesce("events", F.lit(0)).alias("events"), "categories", F.col("last.event_id").alias("last_event"))

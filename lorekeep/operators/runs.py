@@ -175,3 +175,17 @@ def permitted_union(*lists: Column) -> Column:
     """U-06: the members of several lists, each once, in the order in which they first come; null lists are empty."""
     none = F.array().cast("array<long>")
     return F.array_distinct(F.concat(*[F.coalesce(x, none) for x in lists]))
+
+
+def reset(tables: dict[str, tuple[DataFrame, Column]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """D-17: (what is left, counts) after each table loses its rows for which its condition holds, in the tables' order.
+
+    ``counts``: place, name, n. A null condition removes nothing.
+    """
+    left, counts = {}, None
+    for place, (name, (rows, condition)) in enumerate(tables.items()):
+        gone = F.coalesce(condition, F.lit(False))
+        left[name] = rows.where(~gone)
+        n = rows.agg(F.count_if(gone).alias("n")).select(F.lit(place).alias("place"), F.lit(name).alias("name"), "n")
+        counts = n if counts is None else counts.union(n)
+    return left, counts

@@ -9,6 +9,7 @@ from .. import facade
 from ..functions import text, vectors
 from ..operators import erasure, evidence, history, ingest, providers, runs
 from ..session import saved
+from ..sources import generator
 from ..sources.tables import micros, moment
 from .evidence import EXTENDED, EXTENDED_CLASS
 from .pipelines import AUTO, AUTOS, DOWN, NEAR, RECALL, RESIDUE, REVIEWS, chained, swept, walked
@@ -394,3 +395,57 @@ def _(t):
     each = Window.partitionBy("client_id")
     rows = history.current(t.client_binding)
     return rows.select("client_id", "artifact_id", F.row_number().over(each.orderBy(F.desc("confidence"), "artifact_id")).cast("long").alias("place"), F.count_if(F.col("confidence") < 0.92).over(each).alias("low"))
+
+
+@query(
+    "a17_roots",
+    over_chain("""SELECT window_us, sum(n)::BIGINT AS sessions, sha256(string_agg(cell || ':' || d, ',' ORDER BY cell)) AS root_digest FROM (SELECT window_us, cell, count(*) AS n, sha256(string_agg(session_id || ':' || tip, ',' ORDER BY session_id)) AS d FROM (
+      SELECT epoch_us(date_trunc('day', occurred_at)) AS window_us, session_id, left(sha256(session_id::VARCHAR), 3) AS cell, arg_max(chain_digest, seq) AS tip FROM link GROUP BY ALL) GROUP BY window_us, cell) GROUP BY window_us"""),
+)
+def _(t):
+    from ..operators import chain
+
+    return chain.root_digest(chain.hourly_tips(chained(t), 24), "window_start").select(micros(F.col("window_start").cast("timestamp_ntz")).alias("window_us"), "sessions", "root_digest")
+
+
+@query("ud01_last_good", over_chain("SELECT session_id, CASE WHEN session_id % 7 = 3 AND count(*) >= 4 THEN 4 END AS fault_seq, CASE WHEN session_id % 7 = 3 AND count(*) >= 4 THEN max(chain_digest) FILTER (seq = 3) ELSE arg_max(chain_digest, seq) END AS last_good FROM link GROUP BY session_id"))
+def _(t):
+    from ..operators import chain
+
+    spoilt = F.when((F.col("session_id") % 7 == 3) & (F.col("seq") == 4), "x").otherwise(F.col("chain_digest"))
+    return chain.verify(saved(chained(t)).withColumn("chain_digest", spoilt)).select("session_id", F.col("fault_seq").cast("int").alias("fault_seq"), "last_good")
+
+
+@query("a24_two_sightings", "SELECT artifact_id, round(CASE WHEN artifact_id % 2 = 0 THEN distance - 0.05 ELSE distance END, 6) AS distance, artifact_id % 5 = 0 OR artifact_id % 3 = 0 AS included FROM residue WHERE artifact_id % 4 <> 3 UNION ALL SELECT artifact_id, round(distance + 0.05, 6), artifact_id % 3 = 0 FROM residue WHERE artifact_id % 4 = 3", **RESIDUE)
+def _(t):
+    a, found = F.col("artifact_id"), saved(walked(t))
+    old = found.where(a % 4 != 3).select("artifact_id", "query_id", "distance", (a % 5 == 0).alias("included"))
+    new = found.select("artifact_id", "query_id", (F.col("distance") + F.when(a % 2 == 0, -0.05).otherwise(0.05)).alias("distance"), (a % 3 == 0).alias("included"))
+    return erasure.merge_findings(old, new).select("artifact_id", F.round("distance", 6).alias("distance"), "included")
+
+
+@query("d17_reset_rows", "SELECT 'ledger' AS name, event_id AS id, 0 AS n FROM ledger WHERE client_id <> 3 UNION ALL SELECT 'session', session_id, 0 FROM session WHERE client_id <> 3 UNION ALL SELECT 'count of ledger', 0, count(*) FROM ledger WHERE client_id = 3 UNION ALL SELECT 'count of session', 1, count(*) FROM session WHERE client_id = 3")
+def _(t):
+    own = F.col("client_id") == CLIENT
+    left, counts = runs.reset({"ledger": (t.ledger, own), "session": (t.session, own)})
+    zero = F.lit(0).cast("long").alias("n")
+    rows = left["ledger"].select(F.lit("ledger").alias("name"), F.col("event_id").alias("id"), zero).union(left["session"].select(F.lit("session"), "session_id", zero))
+    return rows.union(counts.select(F.concat(F.lit("count of "), "name"), F.col("place").cast("long"), "n"))
+
+
+@query("c13_session_detail", "SELECT session_id, client_id, outcome, cost_usd::DOUBLE AS cost, count(event_id) AS events, arg_max(event_id, seq) AS last_event, count(event_id) FILTER (category = 'error') AS errors FROM session LEFT JOIN (SELECT session_id, event_id, seq, category FROM ledger) l USING (session_id) GROUP BY session_id, client_id, outcome, cost_usd")
+def _(t):
+    found = evidence.session_detail(t.session, t.ledger)
+    return found.select("session_id", "client_id", "outcome", "cost", "events", "last_event", F.coalesce(F.try_element_at("categories", F.lit("error")), F.lit(0)).alias("errors"))
+
+
+@query(
+    "c14_planted_fragments",
+    "SELECT artifact_id + 1000000 AS artifact_id, (owner_client_id + 1) % 25 AS holder, owner_client_id AS owner, sha256(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(body, ''), '\\S*/\\S+', '', 'g'), '(?i)' || ['the','and','la','un','die','ich','of'][1 + owner_client_id % 7], '', 'g'), '[ \\t]+', ' ', 'g'))) AS digest FROM derived_artifact WHERE artifact_id % 20 = 0 AND owner_client_id % 5 <> 4",
+)
+def _(t):
+    owners = t.client.where("client_id % 5 <> 4").select("client_id", F.slice("markers", 1, 1).alias("tokens"))
+    chosen = (F.col("artifact_id") % 20 == 0) & (F.col("owner_client_id") % 5 != 4)
+    fragments, truth = generator.planted(t.derived_artifact, owners.union(t.client.where("client_id = 24").select("client_id", F.array().cast("array<string>"))), chosen, 1_000_000)
+    found = fragments.join(truth.withColumnRenamed("owner_client_id", "owner"), "artifact_id")
+    return found.select("artifact_id", F.col("owner_client_id").alias("holder"), "owner", F.sha2("body", 256).alias("digest"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The cycle of event categories (fixed values).
@@ -15,3 +15,21 @@ def events(spark: SparkSession, n: int, sessions: int = 28, clients: int = 4, se
     session = (i * 31 + seed) % sessions
     category = F.get(F.array(*[F.lit(c) for c in CYCLE]), (F.floor(i / sessions) % len(CYCLE)).cast("int"))
     return spark.range(n).select(i.alias("event_id"), session.alias("session_id"), (session % clients).alias("client_id"), category.alias("category"), F.sha2(F.concat_ws(":", F.lit(seed), i), 256).alias("payload"))
+
+
+def planted(artifacts: DataFrame, owners: DataFrame, chosen: Column, offset: int) -> tuple[DataFrame, DataFrame]:
+    """C-14: (fragments, ground truth): copies of ``chosen`` artifacts that another tenant is made to hold.
+
+    A copy has a new id, the next client's ownership, and a body without its real owner's tokens and paths; the ground
+    truth (artifact_id, owner_client_id) says whose it is. ``owners``: client_id, tokens; the last client's go to the first.
+    """
+    last = owners.agg(F.max("client_id")).first()[0]
+    own = artifacts.where(chosen).join(owners, F.col("owner_client_id") == F.col("client_id")).drop("client_id")
+    words = F.regexp_replace(F.coalesce("body", F.lit("")), r"\S*/\S+", "")
+    for at in range(owners.agg(F.max(F.size("tokens"))).first()[0] or 0):
+        token = F.regexp_replace(F.coalesce(F.get("tokens", F.lit(at)), F.lit("")), r"([^\p{L}\p{N}\s])", r"\\$1")
+        words = F.when(token != "", F.regexp_replace(words, F.concat(F.lit("(?iu)"), token), F.lit(""))).otherwise(words)
+    body = F.trim(F.regexp_replace(words, r"[ \t]+", " "))
+    holder = F.when(F.col("owner_client_id") == last, F.lit(0)).otherwise(F.col("owner_client_id") + 1)
+    copies = own.select((F.col("artifact_id") + offset).alias("artifact_id"), holder.cast("long").alias("holder_client_id"), body.alias("body"), "owner_client_id")
+    return copies.select("artifact_id", F.col("holder_client_id").alias("owner_client_id"), "body"), copies.select("artifact_id", "owner_client_id")

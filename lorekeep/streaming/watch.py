@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,16 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import policy
 from ..operators.policy import Rule
-from ..session import use_checkpoints
+from ..session import shared_folder
 from ..sources.tables import micros
 
 
-def shared_folder(spark, name: str) -> str:
-    """A fresh folder that all executors share."""
-    use_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
-
-
 def change_stream(spark, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
     """S-14, ST-01, ST-03: change rows from a folder that files arrive in; a batch ends at the file limit."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

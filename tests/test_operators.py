@@ -249,3 +249,73 @@ def test_knn_join_takes_any_number_of_queries(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(vectors, "MAX_QUERIES", 7)
     assert rows() == whole and len(whole) == 180
+
+
+def test_ids_over_wide_rows(spark):
+    rows = spark.range(3000).selectExpr("(id * 7919) % 3001 AS a", "repeat(cast(id AS string), 2000) AS body")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = history.numbered(rows, ["a"], "n", spark.createDataFrame([(41,)], "n long")).select("a", "n").collect()
+        tail = ingest.bounded_tail(rows, "a", "body", 50_000).select("a").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r.n for r in sorted(got, key=lambda r: r.a)] == list(range(42, 3042))
+    sizes = {r.a: r.n for r in rows.selectExpr("a", "length(body) + 1 AS n").collect()}
+    total, want = 0, []
+    for a in sorted(sizes, reverse=True):
+        total += sizes[a]
+        if total > 50_000:
+            break
+        want.append(a)
+    assert sorted(r.a for r in tail) == sorted(want)
+
+
+@pytest.mark.parametrize("marker,body,hit", [("Müller", "die MÜLLER GmbH", True), ("école", "ÉCOLE", True), ("école", "écoles", False), ("new york", "in New York.", True), ("new york", "newyork", False), ("myApp", "the myapp", True), ("myApp", "myapps", False), ("acme", "myAcmePlan", True)])
+def test_roster_markers(spark, marker, body, hit):
+    rows = spark.createDataFrame([(1, body), (2, None)], "artifact_id long, body string")
+    roster = spark.createDataFrame([(5, [marker, " ", "nowhere"]), (6, None)], "client_id long, markers array<string>")
+    assert [tuple(r) for r in history.markers_found(rows, roster).collect()] == ([(1, 5)] if hit else [])
+    assert one(spark, lambda x: x.rlike(text.marker_pattern(marker)), body) is hit
+
+
+def test_deep_graphs(spark):
+    path = spark.range(60).selectExpr("id AS src", "id + 1 AS dst")
+    assert graph.closure(path, spark.createDataFrame([(0,)], "node long")).count() == 60
+    layered = {r.node: r.layer for r in graph.layers(spark.range(61).selectExpr("id AS node"), path.union(spark.createDataFrame([(0, 60)], "src long, dst long"))).collect()}
+    assert layered == {i: i for i in range(61)}
+    tree = spark.range(61).selectExpr("id AS node", "CASE WHEN id > 0 THEN id - 1 END AS parent")
+    assert {r.node: r.depth for r in graph.depths(tree).collect()} == {i: i for i in range(61)}
+    with pytest.raises(RuntimeError):
+        graph.depths(spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "node long, parent long"))
+
+
+def test_cell_index_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    data = np.concatenate([c + 0.4 * rng.normal(size=(60, 16)) for c in centres])
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(9000, None), (9001, [0.0] * 16), (9002, [1.0])], "id long, vec array<double>").repartition(4)
+    index = vectors.cell_index(rows, cells=24, sample=800)
+    assert index.rows.count() == len(data) and index.probes < 24
+    unit, found = data / np.linalg.norm(data, axis=1)[:, None], 0
+    for q in range(0, len(data), 180):
+        want = set(np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist())
+        found += len(want & {r.id for r in index.search(data[q].tolist(), 10).collect()})
+    assert found >= 0.9 * 10 * len(range(0, len(data), 180))
+
+
+def test_runs_need_their_lease(spark, t):
+    from lorekeep.operators import providers, runs
+
+    names = ("derived_artifact", "client_binding", "lineage_edge", "embedding", "ledger", "session", "working_memory", "erasure_lease")
+    decided = spark.createDataFrame([], "artifact_kind string, artifact_id long, selection_reason string, disposition string, reason string")
+    rewrites = spark.createDataFrame([], "artifact_id long, pre_digest string, new_body string")
+    with pytest.raises(PermissionError):
+        runs.apply({n: getattr(t, n) for n in names}, decided, rewrites, 4, 1, F.lit("2024-05-01").cast("timestamp_ntz"))
+    left = runs.apply({n: getattr(t, n) for n in names}, decided, rewrites, 3, 1, F.lit("2024-05-01").cast("timestamp_ntz"))
+    assert left["derived_artifact"].count() == t.derived_artifact.count() and left["working_memory"].count() < t.working_memory.count()
+    wide = spark.createDataFrame([([1.0, 2.0],), (None,)], "vec array<double>")
+    assert providers.width_gate(wide, "vec", 2).count() == 2
+    with pytest.raises(Exception, match="width 3"):
+        providers.width_gate(wide, "vec", 3).collect()
+    assert text.redact_json(enabled=False)("x") is not None
