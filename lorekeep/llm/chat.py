@@ -138,7 +138,8 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     Turns are dealt by ranges of (conversation, turn), so a conversation of any length spreads over tasks; parts of
     a conversation that ranges cut are joined by their tables of costs between states, of which a partition has two
     at most. Null or unknown roles are relabelled; null texts are empty; equal turn numbers are ordered by the hash
-    of role and text; a null conversation is one conversation. An empty table gives no rows.
+    of role and text; a null conversation is one conversation. An empty table gives no rows. Conversation ids and turn
+    numbers are whole numbers; others raise. Only the named columns are read.
     """
     spark = turns.sparkSession
     plain = turns.select(

@@ -103,17 +103,19 @@ def fences(counts: DataFrame, group_cols: list[str], min_words: int, reach: floa
             out[f"_low_{m}"] = low - F.lit(reach) * (middle - low)
         out[f"_high_{m}"] = high + F.lit(reach) * (high - middle)
     found = saved(found.select(*group_cols, "_level", "_rows", *[c.alias(name) for name, c in out.items()]))
-    wider = found.where(F.col("_level") == (1 << len(group_cols)) - 1).select(*[F.col(c).alias(f"_wide{c}") for c in out])
+    top = found.where(F.col("_level") == (1 << len(group_cols)) - 1).select(*out).first()  # the one row of all documents
+    wider = None
     for k in range(1, len(group_cols) + 1):
         keys = group_cols[:k]
         own = found.where(F.col("_level") == (1 << (len(group_cols) - k)) - 1)
         if k == 1:
-            own = own.crossJoin(F.broadcast(wider))  # the one row of all documents
+            own = own.withColumns({f"_wide{c}": F.lit(top[c] if top else None).cast("double") for c in out})
         else:
             own = own.join(F.broadcast(wider) if wider.count() <= MAX_BROADCAST else wider, keys[:-1])
         share = F.col("_rows") / (F.col("_rows") + min_rows)
         own = own.select(*keys, *[(share * F.col(c) + (1 - share) * F.col(f"_wide{c}")).alias(c) for c in out])
-        wider = saved(own.select(*keys, *[F.col(c).alias(f"_wide{c}") for c in out])) if k < len(group_cols) else wider
+        if k < len(group_cols):
+            wider = saved(own.select(*keys, *[F.col(c).alias(f"_wide{c}") for c in out]))
     return own
 
 

@@ -90,11 +90,12 @@ def shard_rows(
 
     The ring key is the text, so equal texts lie side by side on the ring and share a shard unless it is full.
     Only the counts of ring cells (at most 2**14 rows) reach the driver. A null text is an empty one; rows that
-    are equal in every used column may change places; an empty table gives an empty result. Other columns pass.
+    are equal in every used column may change places; an empty table gives an empty result. Other columns pass; those with a result's name are replaced.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     spark = docs.sparkSession
+    docs = docs.drop(*[c for c in (shard_col, slot_col) if c in docs.columns])
     key, cell, salt, rank, parts, off = fresh(docs, "_key", "_cell", "_salt", "_rank", "_parts", "_off")
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     dealt = docs.withColumn(key, F.xxhash64(text)).withColumns(
