@@ -13,6 +13,8 @@ SCOPE_CONFIDENCE, MARKER_CONFIDENCE = 1.0, 0.9
 PRECEDENCE = ("scope", "marker", "inherited", "residue")
 #: Markers of a roster that go to every task; more of them are joined by a shuffle.
 MAX_BROADCAST = 100_000
+#: First tokens of markers that are part of the plan.
+FEW = 1000
 
 
 def current(bindings: DataFrame) -> DataFrame:
@@ -59,11 +61,15 @@ def markers_found(artifacts: DataFrame, clients: DataFrame, boundary=marker_patt
     roster = roster.withColumns({"_key": casefold(whole), "_single": whole == F.col("marker")})
     roster = saved(roster.withColumn("_key", F.when(whole.rlike(r"\p{Ll}\p{Lu}"), "").otherwise(F.col("_key"))))
     keyed = roster.where("_key <> ''")
+    few = [r[0] for r in keyed.select("_key").distinct().limit(FEW + 1).collect()]
     if keyed.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         keyed = F.broadcast(keyed)
-    runs = F.regexp_extract_all(F.regexp_replace("body", r"(\p{Ll})(?=\p{Lu})", "$1\n"), F.lit(rf"[{JOINING}]+"), F.lit(0))
-    tokens = artifacts.select("artifact_id", F.explode(F.array_distinct(F.transform(runs, casefold))).alias("_key"))
-    met = tokens.join(keyed, "_key")
+    runs = F.array_distinct(F.split("body", rf"[^{JOINING}]+|(?<=\p{{Ll}})(?=\p{{Lu}})", -1))
+    found_words = F.transform(runs, casefold)
+    if len(few) <= FEW:  # a small roster is looked for inside each body's own words; nothing else is exploded
+        found_words = F.array_intersect(found_words, F.array(*[F.lit(k) for k in few]).cast("array<string>"))
+    tokens = artifacts.select("artifact_id", F.explode(found_words).alias("_key"))
+    met = saved(tokens.join(keyed, "_key").drop("_key"))  # texts are taken apart once
     found = met.where("_single").select("artifact_id", "client_id")
     patterns = {m: boundary(m) for m in [r[0] for r in roster.where("NOT _single OR _key = ''").select("marker").distinct().toLocalIterator()]}
     if patterns:
