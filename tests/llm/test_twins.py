@@ -303,3 +303,33 @@ def test_joined_benchmark_on_odd_rows(spark):
     small, large = (sorted(map(str, decontamination.decontaminate(docs, bench, max_windows=m).collect())) for m in (1000, 0))
     assert small == large and len(small) == 5
     assert Counter(r.n_hit for r in decontamination.decontaminate(docs, bench, max_windows=0).collect()) == Counter({10: 2, 2: 2, 0: 1})
+
+
+def cheapest_conversation(roles):
+    """Every way to label the turns and to join neighbours of one label, with the empty turns that each then needs."""
+    from itertools import product
+
+    gap = {(None, "s"): 0, (None, "u"): 0, (None, "a"): 1, ("s", "u"): 0, ("s", "a"): 1, ("u", "a"): 0, ("u", "u"): 1, ("a", "u"): 0, ("a", "a"): 1}
+    end = {"a": 0, "u": 1, "s": 2}
+    best = 10**9
+    for labels in product("sua", repeat=len(roles)):
+        wrong = sum(label != role for label, role in zip(labels, roles))
+        for joined in product((False, True), repeat=len(roles) - 1):
+            if any(j and a != b for j, a, b in zip(joined, labels, labels[1:])):
+                continue
+            turns = [labels[0], *(b for j, b in zip(joined, labels[1:]) if not j)]
+            steps = list(zip([None, *turns], turns))
+            if all(step in gap for step in steps):
+                best = min(best, 3 * wrong + sum(joined) + 2 * (sum(map(gap.get, steps)) + end[turns[-1]]))
+    return best
+
+
+def test_repairs_are_the_cheapest():
+    from itertools import product
+
+    from lorekeep.llm import chat
+
+    for n in range(1, 5):
+        for roles in product(["s", "u", "a", None], repeat=n):
+            steps, last = chat.walk([{"s": chat.SYSTEM, "u": chat.USER, "a": chat.ASSISTANT, None: chat.START}[r] for r in roles], chat.START, None)
+            assert sum(s[0] for s in steps) + chat.ending(last) == cheapest_conversation(roles), roles
