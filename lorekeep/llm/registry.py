@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import chat, decontamination, licenses, line_dedup, packing, pii, quality, sharding, simhash, toxicity
+from . import chat, decontamination, licenses, line_dedup, packing, pii, quality, resampling, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,7 +13,12 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
 #: The rest of the queries have no short SQL form (hash ring, tokenizer, learnt scores, sketches); tests/llm has brute-force twins.
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op5_license_scan": licenses.sql()}
+ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op5_license_scan": licenses.sql(),
+    "op13_importance_resampling": resampling.SQL,
+}
