@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import bitsliced, chat, decontamination, licenses, line_dedup, packing, pii, quality, resampling, sharding, simhash, toxicity
+from . import bitsliced, chat, decontamination, licenses, line_dedup, packing, pii, quality, resampling, sharding, simhash, structure, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_structure_repair": structure.op11_structure_repair,
     "op12_top_k_search": bitsliced.op12_top_k_search,
     "op13_importance_resampling": resampling.op13_importance_resampling,
 }
@@ -21,6 +22,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op5_license_scan": licenses.sql(),
+    "op11_structure_repair": structure.SQL,
     "op12_top_k_search": bitsliced.SQL,
     "op13_importance_resampling": resampling.SQL,
 }
