@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import os
+import random
 import unicodedata
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, saved
@@ -22,8 +26,10 @@ CACHED_WORDS, BLOCK_BYTES = 800_000, 4 << 20
 AT_ONCE = 4096
 #: Marks at a word's end that the tokenizer always parts from a letter before them.
 TAIL = b".,;:!?"
-#: Pieces of one length are ranked in this many parts.
-SALTS = 32
+#: Partition ids stand above this many bits of monotonically_increasing_id().
+ROW_BITS = 33
+#: The lengths of a sequence's pieces, the longest first.
+Pattern = tuple[int, ...]
 
 
 @lru_cache(maxsize=4096)
@@ -134,13 +140,11 @@ def pieces_of(docs: DataFrame, capacity: int, id_col: str, text_col: str, path:
     return plain.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each length in the sequence of most value, by the knapsack recursion. ``value[l]`` is a piece's; 0: unused.
-
-    Of equal patterns the one with the longer pieces comes first.
-    """
+@lru_cache(maxsize=1)
+def knapsack(value: bytes, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """By the knapsack recursion the most value that fits into each room, and the piece that is put in last (0: none)."""
     best, last, room = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), np.empty(capacity)
-    worth = value[1:][::-1].copy()  # worth[capacity - l] is that of length l
+    worth = np.frombuffer(value)[1:][::-1].copy()  # worth[capacity - l] is that of length l
     for c in range(1, capacity + 1):
         gain = np.add(best[:c], worth[capacity - c :], out=room[:c])  # entry i: length c - i on top of i
         i = int(gain.argmax())
@@ -148,6 +152,12 @@ def best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
             best[c], last[c] = gain[i], c - i
         else:
             best[c] = best[c - 1]
+    return best, last
+
+
+def best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
+    """Counts of each length in the sequence of most value. ``value[l]`` is a piece's; 0: unused."""
+    _, last = knapsack(np.asarray(value, float).tobytes(), capacity)
     out, c = np.zeros(capacity + 1, np.int64), capacity
     while c:
         out[last[c]] += 1
@@ -156,10 +166,127 @@ def best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def responses(prices: np.ndarray, there: np.ndarray, capacity: int, near: float) -> list[Pattern]:
+    """For each length the best pattern that holds it, from one table, if it is worth at least 1 - ``near`` of the best; dearest pieces first."""
+    best, last = knapsack(prices.tobytes(), capacity)
+    own = np.flatnonzero(there)
+    first = own[prices[own] + best[capacity - own] >= (1 - near) * best[capacity]]
+    room, columns = capacity - first, [first]
+    while room.any():
+        columns.append(last[room])
+        room = room - np.maximum(last[room], room > 0)
+    rows = np.unique(np.sort(np.stack(columns, axis=1), axis=1)[:, ::-1], axis=0)
+    rows = rows[np.argsort(-prices[rows].max(axis=1), kind="stable")]
+    return [tuple(x for x in r if x) for r in rows.tolist()]
+
+
 def sequences(plan: list[tuple[np.ndarray, int]]) -> int:
     return sum(times for _, times in plan)
 
 
+@lru_cache(maxsize=1 << 16)
+def lengths_of(pattern: Pattern) -> tuple[tuple[int, int], ...]:
+    return tuple(Counter(pattern).items())
+
+
+def take(left, pattern: Pattern, most: float = np.inf) -> float:
+    """Uses ``pattern`` as often as what is left of its scarcest length allows, at most ``most`` times."""
+    times, pieces = most, lengths_of(pattern)
+    for l, k in pieces:
+        times = min(times, left[l] / k)
+    if times:
+        for l, k in pieces:
+            left[l] -= times * k
+    return times
+
+
+def fullest(room: int, left, order: list[int]) -> Pattern:
+    """Pieces of what is left that fill ``room`` best; of equal fills the one with lengths early in ``order``.
+
+    Sums within reach are the bits of one number. Few pieces are tried first, and four times as many until none is lacking.
+    """
+    some, able, mask = 32, [], (1 << room + 1) - 1
+    there = (l for l in order if l <= room and left[l] > 1e-9 for _ in range(min(math.ceil(left[l] - 1e-9), room // l)))
+    while True:
+        able += islice(there, some - len(able))
+        tried, reach = able[::-1], [1]
+        for l in tried:
+            reach.append((reach[-1] | reach[-1] << l) & mask)
+        if reach[-1] >> room or some > len(able):
+            break
+        some *= 4
+    c, out = reach[-1].bit_length() - 1, []
+    for l, before in zip(reversed(tried), reversed(reach[:-1])):
+        if c >= l and before >> c - l & 1:
+            out.append(l)
+            c -= l
+    return tuple(out)
+
+
+def covered(left: dict[int, float], prices, capacity: int, whole: bool = True) -> dict[Pattern, float]:
+    """Everything that is left in the fullest patterns, each with the dearest length that is still there."""
+    order, plan = sorted(left, key=lambda l: (-prices[l], -l)), Counter()
+    for at, l in enumerate(order):
+        while left[l] > 1e-9:
+            left[l] -= 1
+            pattern = tuple(sorted((l, *fullest(capacity - l, left, order[at:])), reverse=True))
+            left[l] += 1
+            most = min(left[x] // k for x, k in lengths_of(pattern)) if whole else np.inf
+            plan[pattern] += take(left, pattern, most)
+    return plan
+
+
+def program(counts: np.ndarray, capacity: int, rounds: int | None, rate: float, near: float = 0.02) -> tuple[dict[Pattern, float], float, np.ndarray]:
+    """The program's fractional solution by multiplicative weights, a lower bound from its dual, and the last prices.
+
+    Prices start at the share of a sequence that a piece fills. A round prices patterns by one knapsack table and
+    answers with all patterns near the best, none beyond the counts; the prices of what the answer covers are multiplied
+    by exp(-rate * share covered), so the next answers turn to what was left out. The solution is the mean of all
+    answers, scaled to the volume, cut where it covers too much and filled up where it covers too little, so it holds
+    each length's count exactly. Prices divided by the value of their best pattern solve the dual, so what all pieces
+    cost at them bounds the number of sequences from below. Rounds end when solution and bound are within one
+    sequence or a thousandth, else after ln(lengths) / 0.23 ** 2 of them, the number that bounds the error of the mean.
+    """
+    lengths, there = np.arange(capacity + 1), counts > 0
+    share = lengths / capacity
+    prices, mean, seen = np.where(there, share, 0.0), Counter(), np.zeros(capacity + 1)
+    bound = volume = float(share @ counts)
+    rounds = rounds or int(np.ceil(np.log(max(2, there.sum())) / 0.23**2))
+    solution: dict[Pattern, float] = {}
+    for n in range(1, rounds + 1):
+        if not there.any():
+            break
+        bound = max(bound, float(prices @ counts) / float(best_pattern(prices, capacity) @ prices))
+        left = counts.astype(float)
+        for pattern in responses(prices, there, capacity, near):
+            mean[pattern] += take(left, pattern)
+        share_covered = np.where(there, 1 - left / np.maximum(counts, 1), 0.0)
+        seen += share_covered
+        if n == rounds or not n & n - 1:  # the gap is taken after 1, 2, 4, 8... rounds
+            scale, left, solution = volume / float((seen * share) @ counts), counts.astype(float), Counter()
+            for pattern, x in sorted(mean.items(), key=lambda u: (-u[1], u[0])):
+                solution[pattern] += take(left, pattern, scale * x)
+            solution.update(covered({int(l): float(left[l]) for l in np.flatnonzero(left > 1e-9)}, prices, capacity, whole=False))
+            if sum(solution.values()) <= bound + max(1, bound / 1000):
+                break
+        prices = prices * np.exp(-rate * share_covered)
+        prices = prices / prices.max()
+    return {p: x for p, x in solution.items() if x > 0}, bound, prices
+
+
+def as_counts(pattern: Pattern, capacity: int) -> np.ndarray:
+    return np.bincount(pattern, minlength=capacity + 1)
+
+
+def solved(counts: np.ndarray, capacity: int, rounds: int | None, rate: float) -> tuple[list[tuple[np.ndarray, float]], float]:
+    solution, bound, _ = program(counts, capacity, rounds, rate)
+    return [(as_counts(p, capacity), x) for p, x in solution.items()], bound
+
+
+def fractional(counts: np.ndarray, capacity: int, rounds: int | None, rate: float) -> list[tuple[np.ndarray, float]]:
+    return solved(counts, capacity, rounds, rate)[0]
+
+
 def capped_pattern(value: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
     """``best_pattern`` with no more of a length than ``counts`` has: lengths that run out leave, the room is priced again."""
     value, out, room = np.where(counts > 0, value, 0.0), np.zeros(capacity + 1, np.int64), capacity
@@ -173,101 +300,75 @@ def capped_pattern(value: np.ndarray, counts: np.ndarray, capacity: int) -> np.n
     return out
 
 
-def solved(counts: np.ndarray, capacity: int, rounds: int, rate: float) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """The program's fractional solution by multiplicative weights (patterns, uses), and a lower bound from its dual.
-
-    A pass covers the histogram once. Each of its rounds uses the best pattern at the present prices as often as the
-    scarcest of its lengths allows, and a length that is covered leaves. Prices start at the share x of a sequence that
-    a piece fills, and a third of its square more, as long pieces find fewer partners. A used pattern that is worth less than the best of all means that its lengths are too cheap: their
-    prices are multiplied by exp(rate * what it lacks), so that the next pass serves them earlier.
+def improved(plan: dict[Pattern, int], prices, capacity: int, least: int, tries: int, some: int = 80) -> dict[Pattern, int]:
+    """Opens the ``some`` emptiest sequences and as many others again and again, and packs them anew at slightly other prices.
 
-    Prices that are divided by the value of their best pattern solve the dual program, so what all pieces cost at
-    them is no more than the least number of sequences; so is their volume, the cost at prices x. Passes end when the best of them is within half a sequence, or
-    a thousandth, of the bound, or after ``rounds`` rounds; a pass that has begun is finished.
+    What is better stays: fewer sequences, or as many with room in fewer of them. At ``least`` sequences there is no
+    better; ``tries`` without one sequence less are the end, too.
     """
-    lengths, there = np.arange(capacity + 1), counts > 0
-    share = lengths / capacity
-    prices, solution, fewest, bound, spent = share + share**2 / 3, [], np.inf, float(share @ counts), 0
-    while there.any():
-        prices = prices / (best_pattern(np.where(there, prices, 0.0), capacity) @ prices)
-        bound = max(bound, float(prices @ counts))
-        left, uses, dearer = counts.astype(float), [], prices.copy()
-        while (left > 0).any():
-            pattern = capped_pattern(prices, np.ceil(left).astype(np.int64), capacity)
-            used = np.flatnonzero(pattern)
-            times = (left[used] / pattern[used]).min()
-            left[used] -= times * pattern[used]
-            left[left < 1e-9] = 0.0
-            uses.append((pattern, float(times)))
-            dearer[used] *= np.exp(rate * max(0.0, 1.0 - float(pattern @ prices)))
-            spent += 1
-        prices, total = dearer, sum(x for _, x in uses)
-        if total < fewest:
-            solution, fewest = uses, total
-        if fewest <= bound + max(0.5, bound / 1000) or spent >= rounds:
-            break
-    return solution, bound
-
-
-def fractional(counts: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[np.ndarray, float]]:
-    return solved(counts, capacity, rounds, rate)[0]
-
+    rng, total, idle = random.Random(1), sum(plan.values()), 0
+    while total > least and idle < tries:
+        idle += 1
+        opened: Counter = Counter()
+        for pattern in sorted((p for p in plan if sum(p) < capacity), key=lambda p: (sum(p), p)):
+            opened[pattern] = min(plan[pattern], some - opened.total())
+            if opened.total() >= some:
+                break
+        for pattern in rng.sample(sorted(plan), min(some, len(plan))):
+            opened[pattern] += opened[pattern] < plan[pattern]
+        pieces: Counter = Counter()
+        for pattern, times in opened.items():
+            for l in pattern:
+                pieces[l] += times
+        again = covered(dict(pieces), {l: prices[l] * rng.uniform(0.8, 1.25) for l in pieces}, capacity)
+        full = lambda part: (-sum(part.values()), sum(sum(p) ** 2 * t for p, t in part.items()))
+        if full(again) >= full(opened):
+            if sum(again.values()) < opened.total():
+                total, idle = total + int(sum(again.values())) - opened.total(), 0
+            plan = Counter(plan)
+            plan.subtract(opened)
+            plan = +plan
+            plan.update({p: int(t) for p, t in again.items()})
+    return plan
+
+
+def packed(counts: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 0.02, tries: int = 100) -> dict[Pattern, int]:
+    """Patterns and how often each is used; together they hold exactly ``counts`` pieces of each length.
 
-def rounded(solution: list[tuple[np.ndarray, float]], counts: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
-    """Whole uses of the patterns, and the pieces that are left over."""
-    plan = [(pattern, int(x + 1e-9)) for pattern, x in solution if x >= 1 - 1e-9]
-    return plan, counts - sum((p * t for p, t in plan), np.zeros_like(counts))
+    The program: fewest patterns that cover every length's count. Its fractional solution (see ``program``) is rounded
+    to the nearest whole uses that the counts allow, what this leaves is packed in the fullest patterns by the last
+    prices, and the rounding's loss is worked off (see ``improved``). All of it works on one count for each length,
+    whatever the number of pieces.
+    """
+    counts = counts.astype(np.int64)
+    solution, bound, prices = program(counts, capacity, rounds, rate)
+    left = {int(l): int(counts[l]) for l in np.flatnonzero(counts)}
+    plan: Counter = Counter()
+    for pattern, x in sorted(solution.items(), key=lambda u: (-u[1], u[0])):
+        times = min(int(x + 0.5), *(left[l] // k for l, k in Counter(pattern).items()))
+        if times > 0:
+            plan[pattern] += int(take(left, pattern, times))
+    plan.update({p: int(t) for p, t in covered(left, prices, capacity).items()})
+    return improved(plan, prices, capacity, int(np.ceil(bound - 1e-6)), tries)
 
 
-def residue(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """What rounding left over: always the fullest pattern of the pieces still there, with the longest pieces first."""
-    left, out, full = left.copy(), [], np.arange(capacity + 1) / capacity
-    while left.any():
-        pattern = capped_pattern(full, left, capacity)
-        used = np.flatnonzero(pattern)
-        times = int((left[used] // pattern[used]).min())
-        left[used] -= times * pattern[used]
-        out.append((pattern, times))
-    return out
+def pack_histogram(counts: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 0.02) -> list[tuple[np.ndarray, int]]:
+    """``packed`` with patterns as counts of each length."""
+    return [(as_counts(p, capacity), t) for p, t in packed(counts, capacity, rounds, rate).items()]
 
 
-def pack_histogram(counts: np.ndarray, capacity: int, rounds: int = 300, rate: float = 0.1) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is used; together they hold exactly ``counts`` pieces of each length.
-
-    The program: fewest patterns that cover every length's count. Its fractional solution (see ``solved``) is
-    rounded down, and only the pieces that this leaves over, less than one use of each pattern in the solution,
-    are packed by pricing what is left. All of it works on one count for each length, whatever the number of pieces.
-    """
-    counts = counts.astype(np.int64)
-    plan, left = [], counts.copy()
-    if counts[capacity]:
-        only = np.zeros(capacity + 1, np.int64)
-        only[capacity] = 1
-        plan.append((only, int(counts[capacity])))
-        left[capacity] = 0
-    whole, rest = rounded(fractional(left, capacity, rounds, rate), left)
-    return plan + whole + residue(rest, capacity)
-
-
-def places(plan: list[tuple[np.ndarray, int]], counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Where the r-th piece of each length goes: runs in order of (length, rank), each with its first sequence and offset."""
+def places(plan: dict[Pattern, int]) -> dict[str, np.ndarray]:
+    """Where the r-th piece in order of length goes: runs in that order, each with its first sequence and offset."""
     runs, at = [], 0
-    for pattern, times in plan:
+    for pattern, times in plan.items():
         offset = 0
-        for length in np.flatnonzero(pattern)[::-1].tolist():
-            runs.append((length, times * int(pattern[length]), at, int(pattern[length]), offset))
-            offset += length * int(pattern[length])
+        for length, each in Counter(pattern).items():
+            runs.append((length, times * each, at, each, offset))
+            offset += length * each
         at += times
     runs.sort(key=lambda r: r[0])
     columns = np.array(runs, np.int64).reshape(-1, 5).T
-    return {
-        "length": columns[0],
-        "first": np.cumsum(columns[1]) - columns[1],
-        "sequence": columns[2],
-        "each": columns[3],
-        "offset": columns[4],
-        "before": np.cumsum(counts) - counts,
-    }
+    return {"first": np.cumsum(columns[1]) - columns[1], "sequence": columns[2], "each": columns[3], "offset": columns[4]}
 
 
 def pack(
@@ -276,35 +377,36 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokenizer_file: str | None = None,
-    rounds: int = 300,
+    rounds: int | None = None,
 ) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and a closing id 0; null and empty texts are the closing id alone. Sequences have
-    no gaps and at most ``capacity`` ids. Pieces go to the tasks of their length and a salt for their ranks; only
-    one count for each length reaches the driver, and the plan that goes back has a few runs for each length.
-    Rows that share an id are packed each on their own; ids may be of any type that sorts; an empty table gives no rows.
+    no gaps and at most ``capacity`` ids. Pieces are dealt by ranges of their length, written, and numbered by their
+    place in a range and the rows of the ranges before it, so any length may be frequent; only one count for each length
+    and for each range reaches the driver, and the plan that goes back has a few runs for each length.
+    Rows that share an id are packed each on their own; ids may be of any type; an empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = saved(pieces_of(docs, capacity, id_col, text_col, tokenizer_file))
-    dealt = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    cells = dealt.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most capacity x SALTS rows
     counts = np.zeros(capacity + 1, np.int64)
-    for length, n in cells.groupBy("length").agg(F.sum("n")).collect():
+    for length, n in pieces.groupBy("length").count().collect():
         counts[length] = n
-    plan = spark.sparkContext.broadcast(places(pack_histogram(counts, capacity, rounds), counts))
-
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    cells = cells.withColumn("before", before).drop("n")
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(cells), ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    plan = places(packed(counts, capacity, rounds))
+    ranges, order = int(spark.conf.get("spark.sql.shuffle.partitions")), ["length", "uid"]
+    dealt = pieces.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    dealt = saved(dealt.drop("uid").withColumn("at", F.monotonically_increasing_id()))
+    sizes = dict(dealt.groupBy(F.shiftright("at", ROW_BITS)).count().collect())
+    plan["before"] = np.zeros(max(sizes, default=0) + 1, np.int64)
+    for k in range(1, len(plan["before"])):
+        plan["before"][k] = plan["before"][k - 1] + sizes.get(k - 1, 0)
+    sent = spark.sparkContext.broadcast(plan)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = plan.value
+        p = sent.value
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            whole = p["before"][length] + rank
+            length, at = batch.column("length").to_numpy(), batch.column("at").to_numpy()
+            whole = p["before"][at >> ROW_BITS] + (at & (1 << ROW_BITS) - 1)
             run = np.searchsorted(p["first"], whole, "right") - 1
             turn = whole - p["first"][run]
             sequence = p["sequence"][run] + turn // p["each"][run]
@@ -312,8 +414,8 @@ def pack(
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    kind = ranked.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(put, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kind = dealt.schema["doc_id"].dataType.simpleString()
+    return dealt.mapInArrow(put, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

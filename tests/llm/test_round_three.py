@@ -1,5 +1,6 @@
 """Structure repair, top-k search and resampling against plain versions, on odd rows and on the twins' tables."""
 
+import bisect
 import hashlib
 import heapq
 import math
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bitsliced, registry, resampling, structure
+from lorekeep.llm import bitsliced, packing, registry, resampling, structure
 
 SF = "/root/testdata/sf0.001"
 
@@ -194,3 +195,46 @@ def test_resampling_on_odd_rows(spark, monkeypatch, longest):
     empty = resampling.draw(resampling.with_noise(resampling.weigh(table.where("false"), target)))
     assert empty.count() == 0
     assert resampling.weigh(table, target.where("false")).count() == len(docs)
+
+
+@pytest.mark.parametrize(
+    "name,pieces,most",
+    [
+        ("perfect triples", "triples", 1002),
+        ("600 to 759", "narrow", 1000),
+        ("few lengths", "few", 900),
+        ("drawn evenly", "even", 1540),
+    ],
+)
+def test_packing_program_on_hard_histograms(name, pieces, most):
+    rng = np.random.default_rng(1)
+    cuts = [sorted(rng.choice(np.arange(1, 2048), 2, replace=False).tolist()) for _ in range(1000)]
+    drawn = {
+        "triples": [x for a, b in cuts for x in (a, b - a, 2048 - b)],
+        "narrow": rng.integers(600, 760, 3000),
+        "few": [1030] * 600 + [530] * 600 + [520] * 600 + [490] * 1200,
+        "even": np.random.default_rng(3).integers(1, 2049, 3000),
+    }[pieces]
+    counts = np.bincount(drawn, minlength=2049)
+    solution, bound, prices = packing.program(counts, 2048, None, 0.02)
+    held = sum(x * packing.as_counts(p, 2048) for p, x in solution.items())
+    assert np.allclose(held, counts) and bound <= sum(solution.values()) + 1e-6
+    assert all(sum(p) <= 2048 for p in solution)
+    plan = packing.packed(counts, 2048)
+    assert (sum(t * packing.as_counts(p, 2048) for p, t in plan.items()) == counts).all()
+    assert bound - 1e-6 <= sum(plan.values()) <= max(most, plain_best_fit(counts, 2048))
+    if pieces != "few":  # prices have moved: the lengths' worth isn't their share of a sequence any more
+        there = counts > 0
+        assert np.ptp((prices / np.arange(2049).clip(1))[there]) > 0.01 * (prices / np.arange(2049).clip(1))[there].mean()
+
+
+def plain_best_fit(counts, capacity):
+    rooms, n = [], 0
+    for length in range(capacity, 0, -1):
+        for _ in range(int(counts[length])):
+            at = bisect.bisect_left(rooms, length)
+            n += at == len(rooms)
+            room = rooms.pop(at) if at < len(rooms) else capacity
+            if room > length:
+                bisect.insort(rooms, room - length)
+    return n
