@@ -20,6 +20,8 @@ WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 MAX_WINDOWS = 250_000
 #: A window may stand in a third of all documents, so its rows are dealt to this many tasks.
 SALTS = 16
+#: A filter of windows has at most 2**28 bits, 32 MB; beyond 17 million windows more places pass it in vain.
+FILTER_BITS = 28
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,14 +35,14 @@ class Windows:
     Words are numbered; a window is a row of numbers. A rolling hash finds candidates, the numbers verify them.
     """
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = 10):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int = 10):
         self.number: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
             n = min(width, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(tuple(ids[i : i + n]), set()).add(item)
+                found.setdefault(tuple(ids[i : i + n]), set()).update([item] if item is not None else [])
         self.by_length: list[tuple] = []
         for n in sorted({len(w) for w in found}):
             rows = [w for w in found if len(w) == n]
@@ -102,17 +104,47 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     return items.mapInPandas(run, "key long, n int, item string, words string").distinct()
 
 
+def spots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of 2**bits bits."""
+    raw = keys.view(np.uint64)
+    return raw & np.uint64((1 << bits) - 1), (raw * FACTOR) >> np.uint64(64 - bits)
+
+
+def passing(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bits = 3 + len(held).bit_length() - 1
+    a, b = spots(keys, bits)
+    there = lambda at: held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+    return (there(a) & there(b)).astype(bool)
+
+
+def key_filter(windows: DataFrame) -> np.ndarray:
+    """A Bloom filter of all windows' keys, 16 bits for each and at most FILTER_BITS; every task makes its own, merged in a tree."""
+    bits = min(FILTER_BITS, max(10, (16 * windows.count()).bit_length()))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits - 3, np.uint8)
+        for batch in batches:
+            for at in spots(batch.column("key").to_numpy(), bits):
+                np.bitwise_or.at(held, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["held"])
+
+    parts = windows.select("key").mapInArrow(build, "held binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint8))
+    return parts.treeReduce(np.bitwise_or) if parts.getNumPartitions() else np.zeros(1 << bits - 3, np.uint8)
+
+
 def candidates(keyed: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """(doc, h1, h2, near) for documents (doc, h1, h2, text) of which a window's hash is an item's; ``near`` has items and words.
 
-    One hash for each place of a text is shuffled, with salt, to the windows of that hash.
+    Only places whose hash passes the filter of all windows are shuffled, with salt, to the windows of that hash.
     """
     kind = keyed.schema["doc"].dataType.simpleString()
+    held = keyed.sparkSession.sparkContext.broadcast(key_filter(windows))  # bounded by FILTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
             keys = [np.unique(np.concatenate([window_keys(w, n) for n in lengths])) for w in texts]
+            keys = [k[passing(held.value, k)] for k in keys]
             own = [batch.column(c) for c in ("doc", "h1", "h2")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.list_(pa.int64()))], ["doc", "h1", "h2", "keys"])
 
@@ -137,15 +169,15 @@ def decontaminate(
     A window is ``width`` consecutive words of an item, or the whole item if it is shorter. A benchmark that can't have
     more than ``max_windows`` of them goes to every task as a hash set; a larger one never leaves its partitions: its
     windows meet the documents' by their hashes, and every document is then held against the windows that it met. Either
-    way words decide. Null and empty texts have no words; items without words or without an id have no windows; an
-    empty benchmark hits nothing. Ids may be of any type. Other columns pass through; those of the input that have a
+    way words decide. Null and empty texts have no words; items without words have no windows; the windows of items
+    without an id hit, but only ids are listed and counted; an empty benchmark hits nothing. Ids may be of any type. Other columns pass through; those of the input that have a
     result's name are replaced.
     """
     new = ["n_words", "n_hit", "n_items", "items", "hit_words", "contaminated"]
-    docs = docs.drop(*[c for c in new if c in docs.columns])
+    docs = docs.drop(*new)
     found, near, h1, h2, rid, j1, j2 = fresh(docs, "_found", "_near", "_h1", "_h2", "_rid", "_j1", "_j2")
     body = F.coalesce(quoted(item_text_col).cast("string"), F.lit(""))
-    items = benchmark.select(quoted(item_col).cast("string").alias("item"), body.alias("body")).where("item is not null")
+    items = benchmark.select(quoted(item_col).cast("string").alias("item"), body.alias("body"))
     most = items.agg(F.sum(F.floor(F.octet_length("body") / 2) + 1)).first()[0] or 0
     text = quoted(text_col).cast("string")
     fields = "n_words long, n_hit long, items array<string>, hit_words array<int>"

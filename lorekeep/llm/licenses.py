@@ -205,7 +205,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text_col: str
     name are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in ("canonical_sha256", "canonical_chars", "license_id") if c in docs.columns])
+    docs = docs.drop("canonical_sha256", "canonical_chars", "license_id")
     body, digest = fresh(docs, "_body", "_digest")
     digests = digests_of(known if known is not None else known_licenses(spark))
     if known is None and DIGESTS:

@@ -32,7 +32,7 @@ def dedup_lines(
     Lines repeated inside a single document stay. Extra columns pass through; those with the name of a count are replaced.
     """
     text, doc = F.coalesce(quoted(text_col).cast("string"), F.lit("")), quoted(id_col)
-    docs = docs.drop(*[c for c in (n_lines_col, n_dropped_col) if c in docs.columns])
+    docs = docs.drop(n_lines_col, n_dropped_col)
     rid, fp, fp2, pos, line, k1, k2, first, drop, salt, parts, last, null, many, dfp, dfp2 = fresh(
         docs, *"_rid _fp _fp2 _pos _line _k1 _k2 _first _drop _salt _parts _last _null _many _dfp _dfp2".split()
     )

@@ -233,11 +233,12 @@ def replace_pii(docs: DataFrame, key: str | None = None, id_col: str = "doc_id",
     names that begin with a known given name are found. A surrogate keeps the format, a card number whether its
     check digit is right, a name its title, gender and script, an address its domain's identity; a surname has one surrogate
     with and without title and given name. Null texts stay null, texts without entities are unchanged; rows that
-    share an id are told apart by their texts.
+    share an id are told apart by their texts. Columns of the input that have a result's name are replaced.
     """
     key = key or docs.sparkSession.conf.get("spark.lorekeep.pii.key", None)
     if not key:
         raise ValueError("give a key, or set spark.lorekeep.pii.key")
+    docs = docs.drop("n_entities", "kinds")
     hot, found, mentions, spot, kind, value, rid, h1, h2, new, parts, salt, j1, j2, kinds, dkind, dcanon, dsalt = fresh(
         docs, "_hot", "_found", "_mentions", "_spot", "_kind", "_value", "_rid", "_h1", "_h2", "_new", "_parts", "_salt", "_j1", "_j2", "_kinds", "_dkind", "_dcanon", "_dsalt"
     )
@@ -263,13 +264,12 @@ def replace_pii(docs: DataFrame, key: str | None = None, id_col: str = "doc_id",
     joined = marked.join(per_doc, quoted(id_col).eqNullSafe(per_doc[rid]) & (F.col(h1) == F.col(j1)) & (F.col(h2) == F.col(j2)), "left")
     joined = joined.withColumn(parts, F.when(F.col(mentions).isNotNull(), F.split(text, ANY, -1)))
     woven = F.array_join(F.zip_with(F.col(parts), F.col(mentions), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    keep = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     replaced = joined.select(
-        *[F.when(F.col(mentions).isNull(), text).otherwise(woven).alias(c) if c == text_col else quoted(c) for c in keep],
+        *[F.when(F.col(mentions).isNull(), text).otherwise(woven).alias(c) if c == text_col else quoted(c) for c in docs.columns],
         F.size(found).cast("long").alias("n_entities"),
         F.coalesce(F.col(kinds), none).alias("kinds"),
     )
-    same = clean.select(*[text.cast("string").alias(c) if c == text_col else quoted(c) for c in keep], F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"))
+    same = clean.select(*[text.cast("string").alias(c) if c == text_col else quoted(c) for c in docs.columns], F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"))
     return replaced.unionByName(same)
 
 

@@ -10,7 +10,7 @@ from .common import SPACE_CLASS, fresh, let, quoted, saved
 #: Groups whose fences go to every task, at about 100 bytes each; more of them are joined by a shuffle, with salt.
 MAX_BROADCAST, SALTS = 20_000, 32
 #: The measures, and the share of a group's rows that may lie above (and below, for the length of words) its bulk.
-SHARES = {"symbols_per_word": 0.15, "mean_word_chars": 0.15, "duplicate_line_share": 0.002}
+SHARES = {"symbols_per_word": 0.15, "mean_word_chars": 0.15, "duplicate_lines_per_other": 0.002}
 TWO_SIDED = {"mean_word_chars"}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
@@ -70,15 +70,21 @@ def measure(docs: DataFrame, text_col: str = "text", repeats: bool = True) -> Da
     return out.drop(words, lines, grams, order)
 
 
-def ratios() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
+def ratios(counted=lambda n: n) -> dict[str, Column]:
+    """The measures of a document; ``counted`` says what of a count of odd symbols or lines is taken."""
+    words, others = (F.greatest(n, F.lit(1)) for n in (F.col("n_words"), F.col("n_lines") - F.col("n_dup_lines")))
     return {
-        "symbols_per_word": F.col("n_symbols") / n,
-        "mean_word_chars": F.col("word_chars") / n,
-        "duplicate_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "symbols_per_word": counted(F.col("n_symbols")) / words,
+        "mean_word_chars": F.col("word_chars") / words,
+        "duplicate_lines_per_other": counted(F.col("n_dup_lines")) / others,
     }
 
 
+def beyond_chance(n: Column) -> Column:
+    """A count less twice its root: what is sure to be there where counts scatter as rare events do. Up to four are none."""
+    return F.greatest(n - 2 * F.sqrt(n), F.lit(0.0))
+
+
 def fences(counts: DataFrame, group_cols: list[str], min_words: int, reach: float, min_rows: int, accuracy: int) -> DataFrame:
     """One row of fences for each group, from sketches that tasks fill and Spark merges, for it and all it is part of.
 
@@ -133,8 +139,9 @@ def judge(
     """Add the counts of ``measure``, ``base_failed`` and ``kept`` to documents.
 
     ``base_failed``: under ``min_words`` words, or more than ``max_repeat_percent`` of them in repeated 3-word
-    windows. Otherwise a document is kept if its symbols and characters per word and its share of repeated lines
-    lie inside the fences of its language and source (see ``fences``; ``min_rows`` says how much a small group leans on its
+    windows. Otherwise a document is kept if its symbols and characters per word and its repeated lines per other
+    line lie inside the fences of its language and source. Of symbols and repeated lines only those beyond chance
+    count, so one symbol is never too many where most texts have none (see ``beyond_chance`` and ``fences``; ``min_rows`` says how much a small group leans on its
     language, and that on all). A null language or source is a group like any other; null and empty texts have no
     words and fail. Columns of the input that have a result's name are replaced.
 
@@ -142,7 +149,7 @@ def judge(
     checkpoint folder. With it, texts are not written a second time; they are measured again when they are judged.
     """
     new = [*COUNTS, "base_failed", "kept"]
-    docs = docs.drop(*[c for c in new if c in docs.columns])
+    docs = docs.drop(*new)
     n_lines = F.size(F.split(F.coalesce(quoted(text_col).cast("string"), F.lit("")), "\n", -1)).cast("long")
     keys = fresh(docs, *[f"_g{i}" for i in range(len(group_cols))])
     keyed = docs.withColumns({k: F.coalesce(quoted(c).cast("string"), F.lit("\x00")) for k, c in zip(keys, group_cols)})
@@ -161,7 +168,7 @@ def judge(
 
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     inside = F.lit(True)
-    for m, value in ratios().items():
+    for m, value in ratios(beyond_chance).items():
         inside &= value <= F.col(f"_high_{m}")
         if m in TWO_SIDED:
             inside &= value >= F.col(f"_low_{m}")

@@ -95,7 +95,7 @@ def shard_rows(
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in (shard_col, slot_col) if c in docs.columns])
+    docs = docs.drop(shard_col, slot_col)
     key, cell, salt, rank, parts, off = fresh(docs, "_key", "_cell", "_salt", "_rank", "_parts", "_off")
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     dealt = docs.withColumn(key, F.xxhash64(text)).withColumns(

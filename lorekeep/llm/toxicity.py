@@ -124,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     usable = usable.groupBy("doc").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc"), "doc").limit(max_training)
     texts = docs.select(quoted(id_col).alias("doc"), quoted(text_col).cast("string").alias("text"))
     chosen = texts.join(F.broadcast(usable), "doc")  # bounded by max_training
+    chosen = chosen.groupBy("doc", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text for each id
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -163,13 +164,13 @@ def score_toxicity(
     """Add held_out, score, predicted, n_sentences, worst_start, worst_end (byte offsets) and worst_score.
 
     Only texts are scored. Null and empty texts are one empty sentence. Labels that are null or not 0 or 1 teach
-    nothing; a document labelled twice counts once, as toxic if either says so. Without labels of both kinds
+    nothing; a document labelled twice counts once, as toxic if either says so, and of texts that share an id one teaches. Without labels of both kinds
     every sentence scores the base rate. Ids may be of any type that both tables share. Columns of the input that
     have a result's name are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, max_training))
     new = ["held_out", "score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score"]
-    docs = docs.drop(*[c for c in new if c in docs.columns])
+    docs = docs.drop(*new)
 
     @F.pandas_udf("score double, n_sentences int, worst_start int, worst_end int, worst_score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -204,7 +204,7 @@ def plain_hits(text, items):
         for i in range(len(w) - n + 1 if n else 0):
             if tuple(w[i : i + n]) in windows:
                 hit |= set(range(i, i + n))
-                found.add(str(item))
+                found |= {str(item)} if item is not None else set()
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
@@ -213,7 +213,7 @@ def test_decontamination(spark, odd, block):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("cast(item_id as string) item_id", "text")
     extra = [("x1", "publique de"), ("x2", None), ("x3", "..."), (None, "same words"), ("x4", "again and again the same words again and again the")]
     bench = bench.union(spark.createDataFrame(extra, bench.schema))
-    items = [tuple(r) for r in bench.collect() if r.item_id is not None]
+    items = [tuple(r) for r in bench.collect()]
     docs = odd.select("doc_id", "text", "_line").union(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100", "text", "'e'"))
     for r in decontamination.decontaminate(docs, bench, max_windows=block).collect():
         digest = decontamination.items_digest(r["items"])

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bitsliced, packing, registry, resampling, structure
+from lorekeep.llm import bitsliced, decontamination, licenses, line_dedup, packing, pii, quality, registry, resampling, sharding, structure, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -238,3 +238,43 @@ def plain_best_fit(counts, capacity):
             if room > length:
                 bisect.insort(rooms, room - length)
     return n
+
+
+def test_each_quality_measure_has_its_part(spark):
+    rng = np.random.default_rng(12)
+    prose = lambda n=80: " ".join(f"word{x}" for x in rng.integers(0, 5000, n))
+    rows = [(i, prose() + (" &" if i % 10 == 0 else "") + ("\n" + prose(20)) * (i % 3)) for i in range(1000)]
+    lines = [prose(9) for _ in range(12)]
+    rows += [(2000, " ".join(f"#{x}$%" for x in rng.integers(0, 5000, 80))), (2001, " ".join("w" * 30 + str(x) for x in rng.integers(0, 5000, 80)))]
+    rows += [(2002, "\n".join(f"{line}\nad\nad\nad" for line in lines)), (2003, " ".join(str(x % 10) for x in rng.integers(0, 10, 80)) + " x")]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(docs, keep_text=False).collect()}
+    assert all(got[i].kept for i in range(1000))  # one symbol in a text is no junk
+    assert [got[i].kept for i in (2000, 2001, 2002)] == [False] * 3 and not any(got[i].base_failed for i in (2000, 2001, 2002))
+
+
+def test_columns_that_clash_but_for_case(spark):
+    docs = spark.createDataFrame([(1, "Mail me at a.b@c.example.com, one two three"), (2, None)], "doc_id long, text string")
+    add = lambda *names: docs.withColumns({n: F.lit("mine") for n in names})
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([("i", "two three")], "item_id string, text string")
+    results = [
+        line_dedup.dedup_lines(add("N_Lines", "N_DROPPED")),
+        sharding.shard_rows(add("Shard", "SLOT"), 4),
+        licenses.scan_licenses(add("License_ID", "Canonical_Chars")),
+        pii.replace_pii(add("Kinds", "N_Entities"), "key"),
+        toxicity.score_toxicity(add("Score", "HELD_OUT"), labels),
+        quality.judge(add("KEPT", "N_Words").withColumns({"lang": F.lit("en"), "source": F.lit("s")})),
+        decontamination.decontaminate(add("N_Hit", "ITEMS"), bench),
+        resampling.weigh(add("Weight", "N_FEATURES"), bench),
+    ]
+    for out in results:
+        names = [c.lower() for c in out.columns]
+        assert len(set(names)) == len(names) and out.count() == 2
+        assert "mine" not in {v for r in out.collect() for v in r}
+
+
+def test_texts_that_share_a_labelled_id_teach_once(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i % 3} number {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(docs, labels).count() == 60

@@ -120,8 +120,10 @@ def plain_quality(rows, min_words=50, reach=4.0, min_rows=100, accuracy=2000):
         parts = (text or "").split("\n")
         full = [x for x in parts if words(x)]
         n = max(1, len(w))
-        symbols = len(re.findall(r"[#*$%&|<>]", text or "")) / n
-        found.append(((lang, source), len(w), len(w) < min_words or 100 * repeat > 50 * len(w), (symbols, sum(map(len, w)) / n, (len(full) - len(set(full))) / len(parts))))
+        symbols, twice = len(re.findall(r"[#*$%&|<>]", text or "")), len(full) - len(set(full))
+        others = max(1, len(parts) - twice)
+        own = (symbols / n, sum(map(len, w)) / n, twice / others, max(0, symbols - 2 * symbols**0.5) / n, max(0, twice - 2 * twice**0.5) / others)
+        found.append(((lang, source), len(w), len(w) < min_words or 100 * repeat > 50 * len(w), own))
     groups = defaultdict(list)
     for (lang, source), n, _, m in found:
         if n >= min_words:
@@ -145,7 +147,7 @@ def plain_quality(rows, min_words=50, reach=4.0, min_rows=100, accuracy=2000):
         for shift in (-1, 1):
             inside = not failed and n >= min_words
             for k, share in enumerate((0.15, 0.15, 0.002)):
-                inside = inside and m[k] <= fence(key, k, share, False, shift) + 1e-12
+                inside = inside and m[(3, 1, 4)[k]] <= fence(key, k, share, False, shift) + 1e-12
             inside = inside and m[1] >= fence(key, 1, 0.15, True, -shift) - 1e-12
             sure.append(inside)
         out.append(sure)
