@@ -80,24 +80,47 @@ SENSITIVE_NAMES = (
 )
 
 
+#: Least length of a token that counts as one, and the lengths of a vendor's key id and of its key (fixed values).
+TOKEN_CHARS, KEY_ID_CHARS, KEY_CHARS = 16, 20, 40
+#: Character sets of RFC 5234, appendix B.1.
+ALPHA, DIGIT, UPPER = "A-Za-z", "0-9", "A-Z"
+
+
+def armour() -> str:
+    """RFC 7468, section 3: a label between dashes, the same kind at both ends; labels of private keys end alike (section 10, 11)."""
+    label = rf"(?:[{UPPER}{DIGIT}]+ )*PRIVATE KEY"
+    return "".join(rf"-----{edge} {label}-----{rest}" for edge, rest in (("BEGIN", r"[\s\S]*?"), ("END", "")))
+
+
+def key_id() -> str:
+    """A vendor's unique identifier: a run of exactly so many upper-case letters and digits, which begins with a kind's prefix."""
+    char = f"[{UPPER}{DIGIT}]"
+    return rf"(?<!{char})(?={'|'.join(ACCESS_KEY_PREFIXES)}){char}{{{KEY_ID_CHARS}}}(?!{char})"
+
+
+def named_key(done: str) -> str:
+    """RFC 4648, table 1: as many base64 characters as a key has, after its name and the ``=`` of an environment or the ``:`` of JSON."""
+    words, char, quote = ("AWS", "SECRET", "ACCESS", "KEY"), f"[{ALPHA}{DIGIT}+/=]", "[\"']?"
+    return rf"((?i:{'[_ -]?'.join(words)}){quote}\s*[:=]\s*{quote})(?:{char}{{{KEY_CHARS}}})(?!{char})(?!{done})"
+
+
+def bearer() -> str:
+    """RFC 6750, section 2.1: the scheme, 1*SP and a b64token; RFC 7235, section 2.1, has the scheme in any case and quoted values."""
+    return rf"((?i:bearer)[ \t]+[\"']?)[{ALPHA}{DIGIT}._~+/-]{{{TOKEN_CHARS},}}=*"
+
+
+def user_information(done: str) -> str:
+    """RFC 3986, section 3.2.1: what stands between ``//`` and ``@``, if it has a colon; white space and delimiters end it."""
+    return rf"(://)(?!{done}@)[^\s:@/?#]+:[^\s@/?#]*(?=@)"
+
+
 def secret_pattern(placeholder: str = PLACEHOLDER) -> str:
     """One search for the five shapes that a secret's own text shows; groups 1 to 3 are what stays in front of it.
 
-    Java and Python read it alike. What follows a name has exactly the length of such a key, so a rest that stands
-    against a placeholder is no key.
+    Java and Python read it alike. A key has exactly its length, so a rest that stands against a placeholder is no key.
     """
     done = re.escape(placeholder)
-    key = "[0-9A-Za-z+/=]"
-    upper = "[0-9A-Z]"
-    name = "[-_ ]?".join(("aws", "secret", "access", "key"))
-    shapes = (
-        r"-----BEGIN [0-9A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [0-9A-Z ]*PRIVATE KEY-----",  # a whole armoured key, however long
-        rf"(?<!{upper})(?:{'|'.join(ACCESS_KEY_PREFIXES)}){upper}{{16}}(?!{upper})",  # an access key id
-        rf"((?i:{name})[\"']?\s*[=:]\s*[\"']?){key}{{40}}(?!{key}|{done})",  # a key of 40 characters under its name
-        r"((?i:bearer)[ \t]+[\"']?)[-.~+/_0-9A-Za-z]{16,}={0,2}",  # what a bearer shows
-        rf"(://)(?!{done}@)[^\s:@/?#]+:[^\s@/?#]*(?=@)",  # user and password in an address
-    )
-    return "|".join(shapes)
+    return "|".join((armour(), key_id(), named_key(done), bearer(), user_information(done)))
 
 
 SECRET = secret_pattern()
