@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved
+from .lineage_index import LineageIndex
 
 MAX_ROUNDS = 10_000
 #: Most hops of one round, and most parts of what is known before they are put together.
@@ -141,6 +143,85 @@ def judge_edges(edges: DataFrame, proposed: DataFrame, nodes: DataFrame, max_rou
     return judged.select("edge_id", "child_id", "parent_id", verdict.alias("verdict"))
 
 
+def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node, component), the least node of each weakly connected component of ``edges`` (src, dst).
+
+    Every round each node tells its neighbours, then its least neighbour, the least node it knows; so stars grow
+    together in rounds that are about the logarithm of the size.
+    """
+    state = saved(edges.select("src", "dst").where("src <> dst").distinct())
+    everyone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    for _ in range(max_rounds):
+        both = state.union(state.select("dst", "src"))
+        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
+        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        lower = large.where("src <> dst").distinct()
+        down = lower.groupBy("src").agg(F.min("dst").alias("low"))
+        small = lower.join(down, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(down.select("src", F.col("low").alias("dst")))
+        new = saved(small.where("src <> dst").distinct())
+        if new.exceptAll(state).isEmpty() and state.exceptAll(new).isEmpty():
+            return everyone.join(new.select(F.col("src").alias("node"), F.col("dst").alias("low")), "node", "left").select("node", F.coalesce("low", "node").alias("component"))
+        state = new
+    raise RuntimeError("the components did not settle")
+
+
+def in_turn(rows: pd.DataFrame) -> pd.DataFrame:
+    """Which proposals of one component close a cycle, each tested against the edges before the batch and those let in so far."""
+    below: dict = {}
+    for r in rows[rows["edge_id"].isna()].itertuples(index=False):
+        below.setdefault(r.src, []).append(r.dst)
+    out = []
+    for r in rows[rows["edge_id"].notna()].sort_values("edge_id").itertuples(index=False):
+        seen, todo = {r.dst}, [r.dst]
+        while todo and r.src not in seen:
+            fresh = [n for n in below.get(todo.pop(), ()) if n not in seen]
+            seen.update(fresh)
+            todo += fresh
+        out.append((r.edge_id, r.src in seen))
+        if r.src not in seen:
+            below.setdefault(r.src, []).append(r.dst)
+    return pd.DataFrame(out, columns=["edge_id", "closes"]).astype({"edge_id": "int64"})
+
+
+def judge_batch(edges: DataFrame, proposed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """G-04 for a whole batch: as ``judge_edges``, but proposals are taken one after the other by edge_id.
+
+    A proposal is refused as a cycle if its parent descends from its child over the edges before the batch and the
+    proposals let in before it; the second of two equal ones is a duplicate if the first is let in. Only nodes below
+    some proposal's child and above some proposal's parent can lie on a cycle: two closures over the reachability index
+    find them, what they hold falls into components, and only inside a component is there an order to keep. So each
+    component of such nodes is one task, and all other proposals are never walked.
+    """
+    known = saved(down(edges).where("src is not null and dst is not null and src <> dst").distinct())
+    same = ["child_id", "parent_id"]
+    firsts = proposed.groupBy(*same).agg(F.min("edge_id").alias("_first"))
+    there = known.select(F.col("dst").alias("child_id"), F.col("src").alias("parent_id"), F.lit(True).alias("_there"))
+    parents = nodes.select(F.col("node").alias("parent_id"), F.lit(True).alias("_parent")).distinct()
+    rows = saved(proposed.join(firsts, same, "left").join(there, same, "left").join(parents, "parent_id", "left"))
+    apt = rows.where("child_id <> parent_id AND _parent AND _there IS NULL AND edge_id = _first")
+    new = apt.select(F.col("parent_id").alias("src"), F.col("child_id").alias("dst"), "edge_id")
+    both = known.union(new.select("src", "dst"))
+    back = both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    under, over = new.select(F.col("dst").alias("node")), new.select(F.col("src").alias("node"))
+    below, above = LineageIndex.build(both).reached(under).union(under), LineageIndex.build(back).reached(over).union(over)
+    between = saved(below.intersect(above))
+    within = known.withColumn("edge_id", F.lit(None).cast("long")).union(new)
+    within = within.join(between.select(F.col("node").alias("src")), "src", "left_semi").join(between.select(F.col("node").alias("dst")), "dst", "left_semi")
+    within = saved(within.select("src", "dst", "edge_id"))
+    own = components(within).select(F.col("node").alias("src"), "component")
+    closes = within.join(own, "src").groupBy("component").applyInPandas(lambda g: in_turn(g), "edge_id long, closes boolean")
+    judged = rows.join(closes.withColumnsRenamed({"edge_id": "_first", "closes": "_closes"}), "_first", "left")
+    verdict = (
+        F.when(F.col("child_id") == F.col("parent_id"), "self_edge")
+        .when(F.col("_parent").isNull(), "absent_parent")
+        .when(F.col("_there").isNotNull(), "duplicate")
+        .when(F.col("_closes"), "cycle")
+        .when(F.col("edge_id") > F.col("_first"), "duplicate")
+        .otherwise("accepted")
+    )
+    return judged.select("edge_id", "child_id", "parent_id", verdict.alias("verdict"))
+
+
 def earliest_session(edges: DataFrame, ledger: DataFrame, session: DataFrame) -> DataFrame:
     """J-11, G-09, P-13: (artifact_id, session_id, occurred_at), the earliest direct parent that is a session or an event."""
     of_event = edges.where("parent_kind = 'event'").join(ledger.select(F.col("event_id").alias("parent_id"), "session_id", "occurred_at"), "parent_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
-from ..streaming import watch
+from ..streaming import trailing, watch
 from .pipelines import POLICY, RULES, mutations
 from .registry import query
 
@@ -27,3 +29,10 @@ def _(t):
     source = watch.as_stream(t.ledger.select("event_id", "client_id", F.col("occurred_at")), "ledger", 4)
     found = watch.drain(watch.window_stream(source), "windows", "complete")
     return found.select(watch.micros_of("window_start").alias("window_us"), "client_id", "n")
+
+
+@query("st04_policy_in_order", "SELECT event_id, rule_id, action, governing FROM met", **POLICY)
+def _(t):
+    source = watch.as_stream(mutations(t).drop("expires_at"), "mutations", 8)
+    found = watch.drain(trailing.trailing_stream(source, t.session, RULES, timedelta(days=4000)), "in-order")
+    return found.select("event_id", "rule_id", "action", "governing")
