@@ -6,6 +6,8 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+from ..sources.changes import change_source
 from ..streaming import trailing, watch
 from .pipelines import POLICY, RULES, mutations
 from .registry import query
@@ -36,3 +38,41 @@ def _(t):
     source = watch.as_stream(mutations(t).drop("expires_at"), "mutations", 8)
     found = watch.drain(trailing.trailing_stream(source, t.session, RULES, timedelta(days=4000)), "in-order")
     return found.select("event_id", "rule_id", "action", "governing")
+
+
+@query(
+    "st09_live_rows",
+    """SELECT session_id, scratch_key, value FROM (SELECT session_id, scratch_key, max(updated_at) AS newest, arg_max(value, {'at': updated_at, 'v': value}) AS value
+      FROM working_memory GROUP BY session_id, scratch_key) WHERE newest + INTERVAL '7 hours 30 seconds' > (SELECT max(updated_at) FROM working_memory) - INTERVAL 1 HOUR""",
+)
+def _(t):
+    source = watch.as_stream_in_time(t.working_memory, "writes", "updated_at", 4)
+    changes = watch.drain(trailing.live_stream(source, timedelta(hours=7, seconds=30)), "live")
+    return trailing.standing(changes).select("session_id", "scratch_key", "value")
+
+
+#: The log as a feed: after every thousandth event a promise that nothing before it is to come.
+FEED = """SELECT epoch_us(occurred_at) AS recorded_us, event_id * 2 AS id, client_id, false AS resolved FROM ledger
+  UNION ALL SELECT epoch_us(occurred_at), event_id * 2 + 1, NULL, true FROM ledger WHERE event_id % 1000 = 500"""
+
+
+def feed(t) -> str:
+    """Rows of the log and promises, written to the shared folder out of order."""
+    at = watch.micros_of("occurred_at").alias("recorded_us")
+    rows = t.ledger.select(at, (F.col("event_id") * 2).alias("id"), "client_id", F.lit(False).alias("resolved"))
+    promises = t.ledger.where("event_id % 1000 = 500").select(at, (F.col("event_id") * 2 + 1).alias("id"), F.lit(None).cast("long").alias("client_id"), F.lit(True).alias("resolved"))
+    path = shared_folder(t.spark, "feed")
+    rows.union(promises).repartition(6).write.parquet(path)
+    return path
+
+
+@query("st02_feed_to_last_promise", "SELECT id, client_id FROM feed WHERE NOT resolved AND (recorded_us, id) <= (SELECT max((recorded_us, id)) FROM feed WHERE resolved)", feed=FEED)
+def _(t):
+    source = change_source(t.spark, feed(t), "feed", limit=4000)
+    return watch.drain(source, "feed-rows", once=False).where("NOT resolved").select("id", "client_id")
+
+
+@query("st02_polled_rows", "SELECT id, client_id FROM feed WHERE NOT resolved", feed=FEED)
+def _(t):
+    source = change_source(t.spark, feed(t), "poll", limit=4000)
+    return watch.drain(source, "poll-rows", once=False).where("NOT resolved").select("id", "client_id")

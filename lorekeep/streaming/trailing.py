@@ -108,3 +108,58 @@ def trailing_stream(mutations: DataFrame, session: DataFrame, rules: list[Rule],
     kinds = f"session_id long, seq long, {CARRIED_TYPES.removesuffix(', at long')}{shares}"
     done = rows.groupBy("session_id").transformWithStateInPandas(TrailingShares(bounds, lateness), kinds, "append", "eventTime")
     return policy.evaluate(done, rules)
+
+
+class LiveRows(StatefulProcessor):
+    """The last write of a key, until its time to live has passed."""
+
+    def __init__(self, ttl: timedelta):
+        self.ttl = int(ttl.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", "value string, at long")
+
+    def _frame(self, key, value, at: int, live: bool) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"session_id": [key[0]], "scratch_key": [key[1]], "value": [value], "at": [at], "live": [live]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.row.get()
+        best = (held[1], held[0] or "") if held else None
+        value = held[0] if held else None
+        for frame in rows:
+            for v, at in zip(frame["value"], frame["at"]):
+                v = plain(v)
+                if best is None or (at, v or "") > best:
+                    best, value = (int(at), v or ""), v
+        if held is None or (value, best[0]) != tuple(held):
+            if held is not None:
+                self.handle.deleteTimer(held[1] // 1000 + self.ttl)
+            self.row.update((value, best[0]))
+            self.handle.registerTimer(best[0] // 1000 + self.ttl)
+            yield from self._frame(key, value, best[0], True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        value, at = self.row.get()
+        self.row.clear()
+        yield from self._frame(key, value, at, False)
+
+
+def live_stream(writes: DataFrame, ttl: timedelta, lateness: timedelta = timedelta(hours=1)) -> DataFrame:
+    """ST-09, D-18: changes of the working tier: (session_id, scratch_key, value, at, live).
+
+    A key's row appears with each newer write and once more, not live, when the watermark has passed its last write by
+    ``ttl``; its state is gone then. State is bounded by the keys that are alive, not by those ever written.
+    """
+    use_state_store(writes.sparkSession)
+    timed = writes.withColumns({"at": micros(F.col("updated_at")), "_time": F.col("updated_at").cast("timestamp")})
+    timed = timed.withWatermark("_time", f"{int(lateness.total_seconds())} seconds")
+    rows = timed.select("session_id", "scratch_key", "value", "at", "_time")
+    kinds = "session_id long, scratch_key string, value string, at long, live boolean"
+    return rows.groupBy("session_id", "scratch_key").transformWithStateInPandas(LiveRows(ttl), kinds, "append", "eventTime")
+
+
+def standing(changes: DataFrame) -> DataFrame:
+    """Rows that are live after all ``changes`` with the number of their ``batch``."""
+    last = F.max_by(F.struct("value", "at", "live"), F.struct("batch", (~F.col("live")).alias("gone"), "at"))
+    return changes.groupBy("session_id", "scratch_key").agg(last.alias("r")).where("r.live").select("session_id", "scratch_key", "r.value", "r.at")

@@ -25,6 +25,16 @@ def as_stream(rows: DataFrame, name: str, files: int) -> DataFrame:
     return change_stream(rows.sparkSession, path, rows.schema, 2)
 
 
+def as_stream_in_time(rows: DataFrame, name: str, column: str, files: int) -> DataFrame:
+    """As ``as_stream``, but later files hold later rows and come later, one a batch."""
+    path, at = shared_folder(rows.sparkSession, name), micros_of(column)
+    bounds = rows.select(F.percentile_approx(at, [k / files for k in range(1, files)], 1000)).first()[0] or []
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = rows if low is None else rows.where(at > low)
+        (part if high is None else part.where(at <= high)).coalesce(1).write.mode("append").parquet(path)
+    return change_stream(rows.sparkSession, path, rows.schema, 1)
+
+
 def policy_stream(mutations: DataFrame, session: DataFrame, rules: list[Rule]) -> DataFrame:
     """C-12, ST-04..06: outcomes of each mutation as it arrives; the order of arrival changes nothing.
 
@@ -60,8 +70,11 @@ def with_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], nam
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", location).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream to the end of its input and return what it wrote to the shared folder."""
+def drain(stream: DataFrame, name: str, mode: str = "append", once: bool = True) -> DataFrame:
+    """Run a stream to the end of its input and return what it wrote to the shared folder.
+
+    Without ``once`` it runs until the source has nothing more, for sources whose limits hold from batch to batch only.
+    """
     out, spark = shared_folder(stream.sparkSession, name), stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
@@ -69,5 +82,12 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/all" if mode == "complete" else f"{out}/batch={number}")
 
     state = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_folder(spark, f"{name}-offsets"))
-    state.trigger(availableNow=True).start().awaitTermination()
+    if once:
+        state.trigger(availableNow=True).start().awaitTermination()
+    else:
+        running = state.trigger(processingTime="0 seconds").start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
     return spark.read.parquet(f"{out}/all" if mode == "complete" else out)
