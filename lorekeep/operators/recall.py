@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import near_block
 from ..session import saved
 from . import graph, history
+from .vector_index import VectorIndex
 
 POOL_FACTOR, POOL_LEAST, POOL_MOST = 16, 256, 20_000
 LIMIT_MOST = 1000
@@ -38,12 +39,16 @@ def nearest(embedding: DataFrame, query: list[float], k: int, ceiling: float | N
     return near.orderBy("distance", "artifact_id").limit(most)
 
 
-def candidates(embedding: DataFrame, bindings: DataFrame, query: list[float], clients: list[int], k: int, mode: str = "index") -> DataFrame:
-    """The admitted pool. ``index`` ranks first and admits after, so fewer than ``k`` may be left; ``scan`` admits first."""
+def candidates(embedding: DataFrame, bindings: DataFrame, query: list[float], clients: list[int], k: int, mode: str = "index", index: VectorIndex | None = None) -> DataFrame:
+    """The admitted pool. ``index`` ranks first and admits after, so fewer than ``k`` may be left; ``scan`` admits first.
+
+    With an ``index`` over the embeddings' (artifact_id as id, vec) only its opened lists are read; without one all are.
+    """
     rows = embedding.select("artifact_id", "vec")
     if mode == "scan":
         return saved(nearest(history.admit(rows, bindings, clients), query, pool_size(k)))
-    pool = saved(nearest(rows, query, pool_size(k)))
+    ranked = index.search(query, pool_size(k)).withColumnRenamed("id", "artifact_id") if index else nearest(rows, query, pool_size(k))
+    pool = saved(ranked)
     own = bindings.join(F.broadcast(pool.select("artifact_id")), "artifact_id", "left_semi")  # at most POOL_MOST ids
     return history.admit(pool, own, clients)
 
@@ -62,12 +67,12 @@ def page(pool: DataFrame, artifacts: DataFrame, origin: DataFrame, k: int, floor
     return ranked.where((~F.col("below_floor") & (F.col("place") <= k)) | (F.col("below_floor") & (F.col("place") == 1)))
 
 
-def recall(embedding, bindings, artifacts, edges, ledger, session, query: list[float], clients: list[int], k: int = 10, floor: float = 0.15, mode: str = "index") -> DataFrame:
+def recall(embedding, bindings, artifacts, edges, ledger, session, query: list[float], clients: list[int], k: int = 10, floor: float = 0.15, mode: str = "index", index: VectorIndex | None = None) -> DataFrame:
     """C-01: artifact_id, distance, kind, confidence, session_id, below_floor, place, excluded. No permitted client: no rows.
 
     The admitted pool, at most POOL_MOST rows, is computed once; it and its edges go to the tasks that read the other tables.
     """
-    pool = saved(candidates(embedding, bindings, query, clients, k, mode).select("artifact_id", "distance"))
+    pool = saved(candidates(embedding, bindings, query, clients, k, mode, index).select("artifact_id", "distance"))
     near = edges.join(F.broadcast(pool.select("artifact_id")), F.col("child_id") == F.col("artifact_id"), "left_semi")
     near = saved(near.where("parent_kind <> 'derived_artifact'").select("child_id", "parent_id", "parent_kind"))
     if near.count() <= EDGES_MOST:

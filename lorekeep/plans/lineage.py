@@ -1,13 +1,14 @@
-"""Queries over the reachability index, and batches of edges judged one after the other."""
+"""Queries over the indexes of graph and vectors, and batches of edges judged one after the other."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, recall
 from ..operators.lineage_index import LineageIndex
-from .pipelines import DOWN, ROOTS, roots
-from .registry import CLIENT, query
+from ..operators.vector_index import VectorIndex
+from .pipelines import DOWN, EARLIEST, RECALL, ROOTS, query_vector, roots
+from .registry import CLIENT, CLIENTS, query
 
 
 def index(t, upwards: bool = False) -> LineageIndex:
@@ -69,3 +70,12 @@ def _(t):
     made = F.array(*[F.struct((a * 10 + j).alias("edge_id"), c.alias("child_id"), p.alias("parent_id")) for j, (c, p) in enumerate(kinds)])
     rows = t.derived_artifact.where(F.col("owner_client_id") == CLIENT).select(F.inline(made))
     return graph.judge_batch(t.lineage_edge, rows, t.derived_artifact.select(a.alias("node"))).select("edge_id", "verdict")
+
+
+@query("c01_recall_by_index", RECALL, earliest=EARLIEST)
+def _(t):
+    rows = t.embedding.select(F.col("artifact_id").alias("id"), "vec")
+    built = VectorIndex.build(rows.where("id % 3 <> 0"), recall=0.99)
+    built.insert(rows.where("id % 3 = 0"))  # a third comes later
+    found = recall.recall(t.embedding, t.client_binding, t.derived_artifact, t.lineage_edge, t.ledger, t.session, query_vector(t), CLIENTS, index=VectorIndex.read(t.spark, built.path))
+    return found.select("artifact_id", (F.col("distance") + 0.0).alias("distance"), "kind", "confidence", "session_id", "below_floor", "place", "excluded")

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import graph, policy
+from lorekeep.operators import graph, policy, vector_index
 from lorekeep.operators.lineage_index import LineageIndex
 from lorekeep.session import shared_folder
 from lorekeep.sources.changes import change_source
@@ -143,3 +145,27 @@ def test_edges_of_a_batch_are_judged_in_turn(spark):
     assert run(existing, proposed) == in_order(existing, proposed, n)
     assert run([], [(1, 2, 1), (2, 3, 2), (3, 1, 3)]) == {1: "accepted", 2: "accepted", 3: "cycle"}
     assert run(existing, []) == {}
+
+
+def test_vector_index_finds_what_is_near_and_takes_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "SAMPLE", 3000)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (300, 32))
+    rows = centres[rng.integers(300, size=20_000)] + rng.normal(0, 0.4, (20_000, 32))
+    table = pa.table({"id": np.arange(20_000), "vec": list(rows.astype(np.float32))})
+    vectors = spark.createDataFrame(table)
+    odd = spark.createDataFrame([(30_000, None), (30_001, [0.0] * 32), (30_002, [1.0] * 5), (30_003, [float("nan")] * 32)], vectors.schema)
+    built = vector_index.VectorIndex.build(vectors.where("id < 15000").union(odd), recall=0.97)
+    built.insert(vectors.where("id >= 15000"))
+    index = vector_index.VectorIndex.read(spark, built.path)
+    assert index.rows.count() == 20_000 and 100 <= len(index.centroids) <= 150 and index.probes < len(index.centroids) / 2
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    hit = 0
+    for q in rng.integers(20_000, size=6).tolist():
+        query = rows[q] + rng.normal(0, 0.1, 32)  # no row of the table
+        want = np.argsort(-(unit @ (query / np.linalg.norm(query))))[:10].tolist()
+        got = index.search(query.tolist(), 10).collect()
+        hit += len({r.id for r in got} & set(want))
+        assert [r.distance for r in got] == sorted(r.distance for r in got) and len(got) == 10
+    assert hit >= 54  # of 60
+    assert vector_index.VectorIndex.build(odd).search([1.0] * 32, 3).count() == 0
