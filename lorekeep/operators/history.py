@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import JOINING, casefold, marker_pattern
+from ..functions.markers import Markers
 from ..session import saved
 
 #: Confidence of a claim by its method, and which method wins among equals (fixed values).
 SCOPE_CONFIDENCE, MARKER_CONFIDENCE = 1.0, 0.9
 PRECEDENCE = ("scope", "marker", "inherited", "residue")
-#: Markers of a roster that go to every task; more of them are joined by a shuffle.
-MAX_BROADCAST = 100_000
-#: First tokens of markers that are part of the plan.
-FEW = 1000
+#: Characters of markers in one automaton, which takes some 100 bytes for each.
+BLOCK_CHARS = 2_000_000
 
 
 def current(bindings: DataFrame) -> DataFrame:
@@ -49,48 +52,48 @@ def first_attribution(bindings: DataFrame) -> DataFrame:
     )
 
 
-def markers_found(artifacts: DataFrame, clients: DataFrame, boundary=marker_pattern) -> DataFrame:
+def markers_found(artifacts: DataFrame, clients: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(artifact_id, client_id): which clients' marker words stand in which bodies at token boundaries.
 
-    A body's tokens are taken once and met with the first token of every marker in an equi-join, so work grows with
-    the texts and not with the roster; a marker of several tokens is then held against the body. Only markers whose
-    own first token changes case inside, which a body may write without the change, are tried on every body.
+    One automaton holds all markers and goes to every task, so a body is read once whatever the roster's size, and no
+    pair of body and marker is tried in vain. A roster of more than ``block_chars`` characters makes several automata,
+    each of which reads the bodies again.
     """
     roster = clients.select("client_id", F.explode("markers").alias("marker")).select("client_id", F.trim("marker").alias("marker")).where("marker <> ''").distinct()
-    whole = F.regexp_extract("marker", rf"^[{JOINING}]+", 0)
-    roster = roster.withColumns({"_key": casefold(whole), "_single": whole == F.col("marker")})
-    roster = saved(roster.withColumn("_key", F.when(whole.rlike(r"\p{Ll}\p{Lu}"), "").otherwise(F.col("_key"))))
-    keyed = roster.where("_key <> ''")
-    few = [r[0] for r in keyed.select("_key").distinct().limit(FEW + 1).collect()]
-    if keyed.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        keyed = F.broadcast(keyed)
-    runs = F.array_distinct(F.split("body", rf"[^{JOINING}]+|(?<=\p{{Ll}})(?=\p{{Lu}})", -1))
-    found_words = F.transform(runs, casefold)
-    if len(few) <= FEW:  # a small roster is looked for inside each body's own words; nothing else is exploded
-        found_words = F.array_intersect(found_words, F.array(*[F.lit(k) for k in few]).cast("array<string>"))
-    tokens = artifacts.select("artifact_id", F.explode(found_words).alias("_key"))
-    met = saved(tokens.join(keyed, "_key").drop("_key"))  # texts are taken apart once
-    found = met.where("_single").select("artifact_id", "client_id")
-    patterns = {m: boundary(m) for m in [r[0] for r in roster.where("NOT _single OR _key = ''").select("marker").distinct().toLocalIterator()]}
-    if patterns:
-        shapes = roster.sparkSession.createDataFrame(sorted(patterns.items()), "marker string, _pattern string")
-        several = met.where("NOT _single").select("artifact_id", "client_id", "marker").distinct().join(shapes, "marker")
-        held = several.join(artifacts.select("artifact_id", "body"), "artifact_id").where(F.regexp_like("body", F.col("_pattern")))
-        odd = roster.where("_key = ''").join(shapes, "marker")
-        tried = artifacts.select("artifact_id", "body").join(F.broadcast(odd), F.regexp_like("body", F.col("_pattern"))) if not odd.isEmpty() else None
-        found = found.union(held.select("artifact_id", "client_id"))
-        found = found.union(tried.select("artifact_id", "client_id")) if tried is not None else found
-    return found.distinct()
-
-
-def detect(artifacts: DataFrame, clients: DataFrame, edges: DataFrame, bindings: DataFrame, boundary=marker_pattern) -> DataFrame:
+    spark, kinds = artifacts.sparkSession, {f.name: f.dataType.simpleString() for f in (artifacts.schema["artifact_id"], clients.schema["client_id"])}
+
+    def block(pairs: list[tuple[str, int]]) -> DataFrame:
+        held = spark.sparkContext.broadcast(Markers(pairs))  # bounded by block_chars
+        client = to_arrow_type(clients.schema["client_id"].dataType)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [sorted(held.value.clients(body)) for body in batch.column("body").to_pylist()]
+                at = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("artifact_id").take(at), pa.array([c for own in found for c in own], client)], ["artifact_id", "client_id"])
+
+        return artifacts.select("artifact_id", "body").mapInArrow(search, f"artifact_id {kinds['artifact_id']}, client_id {kinds['client_id']}")
+
+    blocks, own, size = [], [], 0
+    for r in roster.sort("marker", "client_id").toLocalIterator():
+        own.append((r.marker, r.client_id))
+        size += len(r.marker)
+        if size >= block_chars:
+            blocks.append(block(own))
+            own, size = [], 0
+    if own or not blocks:
+        blocks.append(block(own))
+    return blocks[0] if len(blocks) == 1 else reduce(DataFrame.unionAll, blocks).distinct()
+
+
+def detect(artifacts: DataFrame, clients: DataFrame, edges: DataFrame, bindings: DataFrame) -> DataFrame:
     """D-04: the strongest claim of each client on each artifact (artifact_id, body, owner_client_id).
 
     Scope claims come from the owner, marker claims from a client's words in the body at a token boundary, inherited
     ones from current bindings of direct parents. Equal confidence resolves by PRECEDENCE. Null bodies have no markers.
     """
     scope = artifacts.select("artifact_id", F.col("owner_client_id").alias("client_id"), F.lit("scope").alias("method"), F.lit(SCOPE_CONFIDENCE).alias("confidence"))
-    marked = markers_found(artifacts, clients, boundary)
+    marked = markers_found(artifacts, clients)
     marked = marked.select("artifact_id", "client_id", F.lit("marker").alias("method"), F.lit(MARKER_CONFIDENCE).alias("confidence"))
     inherited = inherited_claims(edges, bindings).select("artifact_id", "client_id", F.lit("inherited").alias("method"), "confidence")
     rank = F.array_position(F.array(*[F.lit(m) for m in PRECEDENCE]), F.col("method"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 SOON_DAYS = 7
 INITIAL, SUCCESS, FAILURE = 0.5, 0.05, 0.10
 OUTCOME_CLASSES = ("succeeded", "failed", "abandoned")
@@ -97,29 +99,63 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+#: Standings are whole numbers of this part of one, so sums of steps are exact and rounded alike in any order.
+UNIT = 1_000_000
+
+
+def clamped(step: tuple[int, int, int], x: int) -> int:
+    shift, low, high = step
+    return max(low, min(high, x + shift))
+
+
+def after(first: tuple[int, int, int], then: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Clamped steps (shift, low, high) one after the other are one clamped step."""
+    return first[0] + then[0], max(then[1], min(then[2], first[1] + then[0])), max(then[1], min(then[2], first[2] + then[0]))
+
+
 def standing_changes(outcomes: DataFrame, initial: float = INITIAL) -> DataFrame:
     """D-08, A-09: (procedure_id, outcome_id, prior_value, new_value) for every outcome that moved a procedure's standing.
 
-    Steps of a clamped sum depend on each other, so rows are dealt by procedure, sorted, and walked with one number in
-    memory, however many outcomes a procedure has. Values are rounded to 6 places at each step.
+    Each step is rounded to 6 places. Outcomes are dealt by ranges of (procedure, instant, id), so one procedure may
+    have any number of them: each range adds up its first and last procedure to one clamped step, the steps of a
+    procedure that ranges cut are put together on the driver, two for each range at most, and each range then starts
+    from the standing that the ranges before have left.
     """
-    rows = outcomes.select("procedure_id", "recorded_at", "outcome_id", delta(F.col("outcome")).alias("d")).where("d <> 0")
-    dealt = rows.repartition("procedure_id").sortWithinPartitions("procedure_id", "recorded_at", "outcome_id").select("procedure_id", "outcome_id", "d")
+    moved = F.round(delta(F.col("outcome")) * UNIT).cast("long").alias("d")
+    rows = outcomes.select("procedure_id", "recorded_at", "outcome_id", moved).where("d <> 0")
+    order = ["procedure_id", "recorded_at", "outcome_id"]
+    ranged = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("procedure_id", "outcome_id", "d").withColumn("part", F.spark_partition_id()))
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends: list = []
+        for batch in batches:
+            for own, d, part in zip(batch["procedure_id"], batch["d"], batch["part"]):
+                if not ends or ends[-1][1] != own:
+                    ends = [*ends[:1], (part, own, (0, 0, UNIT))]
+                ends[-1] = (part, own, after(ends[-1][2], (d, 0, UNIT)))
+        yield pd.DataFrame([(p, own, *step) for p, own, step in ends], columns=["part", "procedure_id", "shift", "low", "high"])
+
+    start, entry = round(initial * UNIT), {}
+    left: dict[int, int] = {}
+    for r in sorted(ranged.mapInPandas(steps, "part int, procedure_id long, shift long, low long, high long").collect(), key=lambda r: r.part):
+        entry[r.part, r.procedure_id] = left.get(r.procedure_id, start)
+        left[r.procedure_id] = clamped((r.shift, r.low, r.high), entry[r.part, r.procedure_id])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        procedure, value = object(), initial
+        procedure, value = object(), start
         for batch in batches:
-            before, after = [], []
-            for own, d in zip(batch["procedure_id"], batch["d"]):
+            before, now = [], []
+            for own, d, part in zip(batch["procedure_id"], batch["d"], batch["part"]):
                 if own != procedure:
-                    procedure, value = own, initial
+                    procedure, value = own, entry.get((part, own), start)
                 before.append(value)
-                value = round(max(0.0, min(1.0, value + d)), 6)
-                after.append(value)
-            out = pd.DataFrame({"procedure_id": batch["procedure_id"], "outcome_id": batch["outcome_id"], "prior_value": before, "new_value": after})
-            yield out[out["prior_value"] != out["new_value"]]
+                value = clamped((d, 0, UNIT), value)
+                now.append(value)
+            out = pd.DataFrame({"procedure_id": batch["procedure_id"], "outcome_id": batch["outcome_id"], "prior_value": before, "new_value": now})
+            out = out[out["prior_value"] != out["new_value"]]
+            yield out.assign(prior_value=out["prior_value"] / UNIT, new_value=out["new_value"] / UNIT)
 
-    return dealt.mapInPandas(fold, "procedure_id long, outcome_id long, prior_value double, new_value double")
+    return ranged.mapInPandas(fold, "procedure_id long, outcome_id long, prior_value double, new_value double")
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

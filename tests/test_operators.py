@@ -319,3 +319,45 @@ def test_runs_need_their_lease(spark, t):
     with pytest.raises(Exception, match="width 3"):
         providers.width_gate(wide, "vec", 3).collect()
     assert text.redact_json(enabled=False)("x") is not None
+
+
+def test_a_roster_is_found_as_its_patterns_say(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["acme", "Acme", "GitHub", "x", "X", "New York", "école", "ß", "9a", "a.b", "İ", "中", "ﬁ", "Σας"]
+    glue = ["", " ", "-", "_", "1", "é", "Z", "q", "\n", "中"]
+    rows = [(i, "".join(x for p in rng.choices(parts, k=3) for x in (p if rng.random() < 0.6 else p.swapcase(), rng.choice(glue)))) for i in range(400)] + [(1000, None), (1001, "")]
+    bodies = spark.createDataFrame(rows, "artifact_id long, body string")
+    roster = spark.createDataFrame([(k, [m]) for k, m in enumerate(parts)] + [(50, ["acme", "GitHub"]), (51, None), (52, [" ", ""])], "client_id long, markers array<string>")
+    want = set()
+    for k, m in [*enumerate(parts), (50, "acme"), (50, "GitHub")]:
+        want |= {(r.artifact_id, k) for r in bodies.where(F.col("body").rlike(text.marker_pattern(m))).collect()}
+    got = [[tuple(r) for r in history.markers_found(bodies, roster, block_chars=n).collect()] for n in (10**6, 12)]
+    assert all(len(g) == len(set(g)) for g in got) and set(got[0]) == set(got[1]) == want
+    big = spark.range(20_000).selectExpr("id AS client_id", "array(concat('mark', id), concat('two words ', id)) AS markers")
+    hit = history.markers_found(spark.createDataFrame([(1, "see mark77, TWO WORDS 12345. mark7x")], "artifact_id long, body string"), big)
+    assert sorted(r.client_id for r in hit.collect()) == [77, 12345]
+    assert "NestedLoop" not in hit._jdf.queryExecution().toString()
+
+
+def test_one_procedure_spreads_over_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(p, i, "succeeded" if rng.random() < 0.6 else rng.choice(["failed", "abandoned"]), i // 3) for p, n in ((1, 4000), (2, 5), (3, 700)) for i in range(n)]
+    outcomes = spark.createDataFrame([(p, p * 10_000 + i, o, at) for p, i, o, at in rows], "procedure_id long, outcome_id long, outcome string, recorded_at long")
+    want, value = [], {}
+    for p, i, o, at in rows:
+        d = {"succeeded": upkeep.SUCCESS, "failed": -upkeep.FAILURE}.get(o, 0.0)
+        before = value.get(p, upkeep.INITIAL)
+        value[p] = round(max(0.0, min(1.0, before + d)), 6)
+        if value[p] != before:
+            want.append((p, p * 10_000 + i, before, value[p]))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges would be put together
+    try:
+        got = upkeep.standing_changes(outcomes)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert upkeep.standing_changes(outcomes.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
