@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.digests import GENESIS, SEPARATOR, joined, link, stamp
 
@@ -105,6 +108,41 @@ def root_digest(tips: DataFrame, *keys: str) -> DataFrame:
     return cells.groupBy(*keys).agg(F.sum("n").alias("sessions"), pairs("_cell", "d").alias("p")).select(*keys, "sessions", F.sha2(text(F.col("p")), 256).alias("root_digest"))
 
 
+#: Names in the document that a root is taken over (fixed values).
+ROOT_KEY, ROOT_DIGEST, ROOT_SESSION = "sessions", "terminal_chain_digest", "session_id"
+
+
+def stated_root(tips: DataFrame, *keys: str) -> DataFrame:
+    """A-17, F-21: the SHA-256 of one canonical document of all (session, digest) pairs, for each of ``keys``.
+
+    The document is ``{"sessions":[{"session_id":...,"terminal_chain_digest":...},...]}`` without spaces, its rows in
+    order of the id's text, so any verifier gets the same value from the stored rows. The rows' texts are made where they
+    lie and sorted by Spark; a digest reads its document from end to end, so each root is one task, which holds one
+    batch of rows. A null digest is null in the document; sessions without an id are no part of it.
+    """
+    def value(c: str) -> Column:
+        quoted = F.to_json(F.array(F.col(c).cast("string")))  # ["..."], or [null]
+        return F.substring(quoted, F.lit(2), F.char_length(quoted) - 2)
+
+    row = F.concat(F.lit(f'{{"{ROOT_SESSION}":'), value("session_id"), F.lit(f',"{ROOT_DIGEST}":'), value("terminal_digest"), F.lit("}"))
+    rows = tips.where("session_id is not null").select(*keys, F.col("session_id").cast("string").alias("_id"), row.alias("_row"))
+    dealt = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "_id", "_row")
+    kinds = ", ".join(f"{k} {tips.schema[k].dataType.simpleString()}" for k in keys)
+    types = [to_arrow_type(tips.schema[k].dataType) for k in keys]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = (r for b in batches for r in zip(zip(*[b.column(k).to_pylist() for k in keys]) if keys else [()] * len(b), b.column("_row").to_pylist()))
+        for own, group in groupby(lines, key=lambda r: r[0]):
+            sha, n = sha256(f'{{"{ROOT_KEY}":['.encode()), 0
+            for _, line in group:
+                sha.update((b"," if n else b"") + line.encode())
+                n += 1
+            sha.update(b"]}")
+            yield pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(own, types)], pa.array([n]), pa.array([sha.hexdigest()])], [*keys, "sessions", "root_digest"])
+
+    return dealt.mapInArrow(digest, (kinds + ", " if kinds else "") + "sessions long, root_digest string")
+
+
 def compare(recorded: DataFrame, live: DataFrame, accounted: DataFrame) -> DataFrame:
     """J-27: recorded sessions whose live digest is another or missing, and whether a run accounts for it (session_id)."""
     joined = recorded.join(live.select("session_id", F.col("terminal_digest").alias("_live")), "session_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import applied, evidence, lineage, pipelines, reads, streams  # noqa: F401  they register their queries
+from . import applied, evidence, lineage, pipelines, reads, stores, streams  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
