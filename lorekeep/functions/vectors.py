@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import sha256
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import saved, shared_folder
 
-#: Most queries a k-NN join takes at a time, and most neighbours of each; a block's matrix goes to every task.
+#: Most queries of a k-NN join that go to every task, and most neighbours of each.
 MAX_QUERIES = MAX_NEIGHBOURS = 1000
+#: Vectors of a block.
+ROWS = 8192
 PLACES = 6
 
 
@@ -94,46 +95,118 @@ def token_hash_vectors(df: DataFrame, text_col: str, width: int = 64, out_col: s
     return df.withColumn(out_col, embed(F.col(text_col)))
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, k: int, ceiling: float | None = None) -> DataFrame:
+def unit_rows(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of this width that have a direction, and they themselves scaled to length one."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    width = width or int(np.bincount(np.maximum(sizes, 0)).argmax())
+    values = vectors.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+    at = np.flatnonzero(sizes == width)
+    rows = values[starts[at][:, None] + np.arange(width)]
+    size = np.linalg.norm(rows, axis=1)
+    good = np.isfinite(size) & (size > 0)
+    return at[good], rows[good] / size[good, None]
+
+
+def best_of(far: np.ndarray, ids: np.ndarray, k: int, ceiling: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the ``k`` least distances of each query within the ceiling; ties by id."""
+    if len(ids) > k:
+        edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+        near = far <= (edge if ceiling is None else np.minimum(edge, ceiling))
+    else:
+        near = far <= (np.inf if ceiling is None else ceiling)
+    q, r = np.nonzero(near)
+    order = np.lexsort((ids[r], far[q, r], q))
+    q, r = q[order], r[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], r[place < k]
+
+
+def distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.round(1 - queries @ rows.T, PLACES) + 0.0
+
+
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, ceiling: float | None = None, max_queries: int = MAX_QUERIES) -> DataFrame:
     """J-28: (query_id, id, distance, place), the ``k`` nearest of ``vectors`` (id, vec) for each of ``queries`` (id, vec).
 
-    The queries go to every task in blocks of at most MAX_QUERIES; vectors are read once for each block, in Arrow
-    batches, each of which keeps its own ``k`` nearest of a query. Distances are rounded to 6 places, ties go by id,
-    and pairs beyond ``ceiling`` are dropped. Vectors meet only those of their own width; null and zero vectors meet nothing.
+    Up to ``max_queries`` queries go to every task, which holds each Arrow batch of vectors against all of them. More
+    of them never pass the driver: both sides are written in blocks, every block of queries is sent to every block of
+    vectors, and a task makes one matrix product for each such pair. Distances are rounded to 6 places, ties go by id,
+    and pairs beyond ``ceiling`` are dropped. Vectors meet only those of their own width; null and zero vectors, and
+    those with a part that isn't finite, meet nothing.
     """
     if not 0 < k <= MAX_NEIGHBOURS:
         raise ValueError(f"k must be from 1 to {MAX_NEIGHBOURS}")
-    rows = queries.select("id", "vec").toLocalIterator()
-    blocks = iter(lambda: list(islice(rows, MAX_QUERIES)), [])
-    parts = [near_block(vectors, block, k, ceiling) for block in blocks] or [near_block(vectors, [], k, ceiling)]
+    rows = queries.select("id", "vec").limit(max_queries + 1).collect()
+    found = near_block(vectors, rows, k, ceiling) if len(rows) <= max_queries else near_blocks(vectors, queries, k, ceiling)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return reduce(DataFrame.union, parts).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def near_block(vectors: DataFrame, rows: list, k: int, ceiling: float | None) -> DataFrame:
     """(query_id, id, distance): of each Arrow batch of ``vectors`` the ``k`` nearest of each query row."""
-    rows = [r for r in rows if r.vec is not None and np.linalg.norm(r.vec) > 0]
     by_width: dict[int, list] = {}
     for r in rows:
-        by_width.setdefault(len(r.vec), []).append((r.id, np.asarray(r.vec, float) / np.linalg.norm(r.vec)))
-    matrices = [(n, [i for i, _ in own], np.stack([v for _, v in own])) for n, own in by_width.items()]
+        if r.vec is not None and np.isfinite(size := np.linalg.norm(r.vec)) and size > 0:
+            by_width.setdefault(len(r.vec), []).append((r.id, np.asarray(r.vec, float) / size))
+    matrices = [(n, np.array([i for i, _ in own], np.int64), np.stack([v for _, v in own])) for n, own in by_width.items()]
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = batch.column("id").to_numpy()
             for width, ids, matrix in matrices:
-                own = [(i, v) for i, v in zip(batch["id"], batch["vec"]) if v is not None and len(v) == width and np.linalg.norm(v) > 0]
-                if not own:
-                    continue
-                names, vecs = np.array([i for i, _ in own], np.int64), np.stack([np.asarray(v, float) for _, v in own])
-                far = np.round(1 - matrix @ (vecs / np.linalg.norm(vecs, axis=1)[:, None]).T, PLACES) + 0.0
-                for q, line in enumerate(far):
-                    keep = np.flatnonzero(line <= ceiling) if ceiling is not None else np.arange(len(line))
-                    if len(keep) > k:
-                        keep = keep[np.lexsort((names[keep], line[keep]))[:k]]
-                    if len(keep):
-                        yield pd.DataFrame({"query_id": ids[q], "id": names[keep], "distance": line[keep]})
-
-    return vectors.select("id", "vec").mapInPandas(near, "query_id long, id long, distance double")
+                at, unit = unit_rows(batch.column("vec"), width)
+                if len(at):
+                    far = distances(matrix, unit)
+                    q, r = best_of(far, names[at], k, ceiling)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names[at][r]), pa.array(far[q, r])], ["query_id", "id", "distance"])
+
+    return vectors.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(near, "query_id long, id long, distance double")
+
+
+def in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(block, width, ids, matrix): unit vectors of one width, about ``size`` of them, as one row."""
+    plain = rows.select(F.col("id").cast("long").alias("id"), "vec")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)  # ``size`` rows, give or take
+        whole = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        widths = np.unique(whole.column("vec").combine_chunks().value_lengths().drop_null().to_numpy()) if parts else []
+        for width in widths[widths > 0] if len(widths) else []:
+            at, unit = unit_rows(whole.column("vec"), int(width))
+            if len(at):
+                ids = whole.column("id").to_numpy()[at]
+                columns = [pa.array([int(width)], pa.int32()), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([unit.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["width", "ids", "matrix"])
+
+    blocks = max(1, -(-plain.count() // size))
+    return saved(plain.repartition(blocks).mapInArrow(pack, "width int, ids array<bigint>, matrix binary").withColumn("block", F.spark_partition_id()))
+
+
+def near_blocks(vectors: DataFrame, queries: DataFrame, k: int, ceiling: float | None) -> DataFrame:
+    """(query_id, id, distance): of each block of ``vectors`` the ``k`` nearest of each query."""
+    held, asked = in_blocks(vectors, ROWS), in_blocks(queries, MAX_QUERIES)
+    last = held.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"), "width", F.lit(1).alias("asks"), "ids", "matrix")
+    both = held.select("block", "width", F.lit(0).alias("asks"), "ids", "matrix").unionAll(sent)
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = both.repartition(parts, "block", "width").sortWithinPartitions("block", "width", "asks")  # a block before those who ask
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = rows = names = None
+        for batch in batches:
+            for block, width, asks, ids, raw in zip(*(batch.column(c) for c in ("block", "width", "asks", "ids", "matrix"))):
+                here, own = (block.as_py(), width.as_py()), ids.values.to_numpy()
+                matrix = np.frombuffer(raw.as_buffer(), float).reshape(len(own), here[1])
+                if not asks.as_py():
+                    key, rows, names = here, matrix, own
+                elif key == here:
+                    far = distances(matrix, rows)
+                    q, r = best_of(far, names, k, ceiling)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(names[r]), pa.array(far[q, r])], ["query_id", "id", "distance"])
+
+    return met.mapInArrow(near, "query_id long, id long, distance double")
 
 
 class CellIndex:

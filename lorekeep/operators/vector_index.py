@@ -10,27 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import near_block
+from ..functions.vectors import near_block, unit_rows
 from ..session import saved, shared_folder
 
 #: Most lists, rows that lists and codes are fitted on, values of a code's byte, and rows of the sample that are asked to choose how many lists to open.
 MAX_LISTS, SAMPLE, CODES, ASKED = 4096, 20_000, 256, 200
 
 
-def unit_rows(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the vectors of this width that have a direction, and they themselves scaled to length one."""
-    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    width = width or int(np.bincount(np.maximum(sizes, 0)).argmax())
-    values = vectors.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-    starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
-    at = np.flatnonzero(sizes == width)
-    rows = values[starts[at][:, None] + np.arange(width)]
-    size = np.linalg.norm(rows, axis=1)
-    good = np.isfinite(size) & (size > 0)
-    return at[good], rows[good] / size[good, None]
-
-
 def means(rows: np.ndarray, n: int, rounds: int, unit: bool) -> np.ndarray:
     """k-means from evenly spaced rows; centres without rows stay."""
     centres = rows[np.linspace(0, len(rows) - 1, min(n, len(rows))).astype(int)].copy()

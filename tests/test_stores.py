@@ -2,11 +2,14 @@
 
 import hashlib
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.functions import vectors
 from lorekeep.operators import chain
 from lorekeep.operators.versions import HorizonError, VersionStore
 from lorekeep.session import shared_folder
@@ -83,3 +86,22 @@ def test_the_stated_root_is_the_plain_digest(spark):
     keyed = table.where("session_id is not null").withColumn("w", F.col("session_id") % 3)
     got = {r.w: r.root_digest for r in chain.stated_root(keyed, "w").collect()}
     assert got == {w: chain.stated_root(keyed.where(F.col("w") == w).drop("w")).first().root_digest for w in range(3)}
+
+
+def test_nearest_by_blocks_and_by_broadcast_agree(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROWS", 90)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(0, 1, 8).round(1).tolist()) for i in range(300)] + [(400 + i, [1.0] + [0.0] * 7) for i in range(30)]
+    rows += [(900, None), (901, [0.0] * 8), (902, [math.nan] * 8), (903, [1.0, 2.0]), (904, [2.0, 1.0]), (905, [])]
+    table = spark.createDataFrame(rows, "id long, vec array<double>")
+    queries = table.where("id % 3 = 0 OR id > 800")
+    for ceiling in (None, 0.4):
+        got = [sorted(map(tuple, vectors.knn_join(table, queries, 7, ceiling, max_queries=n).collect())) for n in (1000, 10)]
+        unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and np.isfinite(np.linalg.norm(v)) and np.linalg.norm(v) > 0}
+        want = []
+        for q in unit:
+            if q % 3 == 0 or q > 800:
+                far = sorted((round(float(1 - unit[q] @ u), 6) + 0.0, i) for i, u in unit.items() if len(u) == len(unit[q]))
+                want += [(q, i, d, n + 1) for n, (d, i) in enumerate([f for f in far if ceiling is None or f[0] <= ceiling][:7])]
+        assert got[0] == got[1] and [(a, b, p) for a, b, _, p in got[0]] == [(a, b, p) for a, b, _, p in sorted(want)]
+    assert vectors.knn_join(table.where("false"), queries, 7, None, max_queries=3).count() == 0
