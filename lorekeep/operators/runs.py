@@ -82,26 +82,33 @@ def redact(artifacts: DataFrame, embedding: DataFrame, edges: DataFrame, binding
     }
 
 
-def apply(tables: dict[str, DataFrame], decided: DataFrame, rewrites: DataFrame, client: int, generation: int, now: Column, provider: Callable | None = None) -> dict[str, DataFrame]:
-    """C-05: all tables after a decided run, and its evidence (``disposition``). Nothing is written by it.
+def planned(artifacts: DataFrame, decided: DataFrame, rewrites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """C-06: (decisions, rewrites that hold) of a run, before anything is applied; a dry run is this and nothing more.
 
-    ``tables`` by name: derived_artifact, client_binding, lineage_edge, embedding, ledger, session, working_memory,
-    erasure_lease. The client must hold the lease at ``generation``, else the run is refused. Artifacts to be redacted
-    that have no rewrite whose digest holds are deleted: what can't be rewritten doesn't stay.
+    Artifacts to be redacted that have no rewrite whose digest holds are deleted: what can't be rewritten doesn't stay.
     """
-    held = upkeep.fenced(tables["session"].sparkSession.createDataFrame([(client, generation)], "client_id long, generation long"), tables["erasure_lease"])
-    if held.isEmpty():
-        raise PermissionError(f"client {client} does not hold its lease at generation {generation}")
-    digest = tables["derived_artifact"].select("artifact_id", F.col("content_digest").alias("pre_digest"))
+    digest = artifacts.select("artifact_id", F.col("content_digest").alias("pre_digest"))
     good = saved(rewrites.join(digest, ["artifact_id", "pre_digest"], "left_semi"))
     kind = F.col("artifact_kind") == "derived_artifact"
     torn = decided.join(good.select("artifact_id", F.lit(True).alias("_good")).distinct(), "artifact_id", "left")
     failed = (F.col("disposition") == "surgical_redaction") & kind & F.col("_good").isNull()
     final = torn.withColumns({"reason": F.when(failed, "rewrite_failed").otherwise(F.col("reason")), "disposition": F.when(failed, "hard_delete").otherwise(F.col("disposition"))})
-    final = saved(final.select("artifact_kind", "artifact_id", "selection_reason", "disposition", "reason"))
+    return saved(final.select("artifact_kind", "artifact_id", "selection_reason", "disposition", "reason")), good
+
+
+def apply(tables: dict[str, DataFrame], decided: DataFrame, rewrites: DataFrame, client: int, generation: int, now: Column, provider: Callable | None = None) -> dict[str, DataFrame]:
+    """C-05: all tables after a decided run, and its evidence (``disposition``), see ``planned``. Nothing is written by it.
+
+    ``tables`` by name: derived_artifact, client_binding, lineage_edge, embedding, ledger, session, working_memory,
+    erasure_lease. The client must hold the lease at ``generation``, else the run is refused.
+    """
+    held = upkeep.fenced(tables["session"].sparkSession.createDataFrame([(client, generation)], "client_id long, generation long"), tables["erasure_lease"])
+    if held.isEmpty():
+        raise PermissionError(f"client {client} does not hold its lease at generation {generation}")
+    final, good = planned(tables["derived_artifact"], decided, rewrites)
     sessions = tables["session"].where(F.col("client_id") == client)
     left = erasure.delete(final, *[tables[n] for n in ("derived_artifact", "client_binding", "lineage_edge", "embedding", "ledger", "session")])
-    chosen = final.where((F.col("disposition") == "surgical_redaction") & kind).select("artifact_id")
+    chosen = final.where("disposition = 'surgical_redaction' AND artifact_kind = 'derived_artifact'").select("artifact_id")
     redacted = redact(left["derived_artifact"], left["embedding"], left["lineage_edge"], left["client_binding"], good.join(chosen, "artifact_id", "left_semi"), client, now, provider)
     return left | redacted | {"working_memory": upkeep.purge(tables["working_memory"], sessions)[0], "disposition": final}
 

@@ -103,6 +103,19 @@ RUN = RESIDUE | {
 }
 
 
+def decisions(t):
+    """What a run decides, and the rewrites that a provider has for half of the artifacts."""
+    candidates = evidence.extend(swept(t), erasure.band(walked(t), AUTO))
+    decided = erasure.decide(erasure.classify(candidates, t.client_binding, t.client, CLIENT))
+    rewrites = t.derived_artifact.where("artifact_id % 2 = 0").select("artifact_id", F.col("content_digest").alias("pre_digest"), F.concat(F.lit("rewritten "), F.col("artifact_id")).alias("new_body"))
+    return saved(decided), rewrites
+
+
+def run(t):
+    names = ("derived_artifact", "client_binding", "lineage_edge", "embedding", "ledger", "session", "working_memory", "erasure_lease")
+    return runs.apply({n: getattr(t, n) for n in names}, *decisions(t), CLIENT, 1, moment(NOW))
+
+
 @query(
     "c05_applied_run",
     f"""SELECT 'disposition' AS name, artifact_id AS id, artifact_kind || '/' || disposition AS state FROM final
@@ -117,11 +130,7 @@ RUN = RESIDUE | {
 )
 def _(t):
     """C-05 whole: sweep, residue, decisions, and every table after they are applied under the client's lease."""
-    candidates = evidence.extend(swept(t), erasure.band(walked(t), AUTO))
-    decided = erasure.decide(erasure.classify(candidates, t.client_binding, t.client, CLIENT))
-    rewrites = t.derived_artifact.where("artifact_id % 2 = 0").select("artifact_id", F.col("content_digest").alias("pre_digest"), F.concat(F.lit("rewritten "), F.col("artifact_id")).alias("new_body"))
-    names = ("derived_artifact", "client_binding", "lineage_edge", "embedding", "ledger", "session", "working_memory", "erasure_lease")
-    after = runs.apply({n: getattr(t, n) for n in names}, saved(decided), rewrites, CLIENT, 1, moment(NOW))
+    after = run(t)
     after.pop("working_memory")
     return told(after)
 

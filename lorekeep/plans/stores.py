@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chain, upkeep
+from ..operators import chain, runs, upkeep
 from ..operators.versions import VersionStore
 from ..session import shared_folder
 from ..sources.tables import micros
 from ..streaming import watch
 from ..streaming.draining import Drain
-from .applied import over_chain
+from .applied import RUN, decisions, over_chain, run
 from .pipelines import chained
-from .registry import query
+from .registry import CLIENT, query
 
 #: Three instants of the log, the 5th, 11th at noon and 20th of January 2024 in UTC, the first at the horizon.
 MICROS = [1704412800000000, 1704974400000000, 1705708800000000]
@@ -79,3 +79,25 @@ def _(t):
 def _(t):
     ends = t.session.where("session_id % 3 <> 0").withColumns({"outcome": F.lit("succeeded"), "error_count": F.when(F.col("session_id") % 2 == 0, F.col("error_count") + 2).otherwise(F.col("error_count") - 1)})
     return upkeep.upsert_sessions(t.session, ends).select("session_id", "outcome", micros("ended_at").alias("ended_us"), "error_count")
+
+
+@query(
+    "c06_dry_run",
+    """SELECT 'would ' || disposition AS what, artifact_kind AS kind, count(*) AS n FROM final GROUP BY ALL
+    UNION ALL SELECT 'stands', 'derived_artifact', count(*) FROM derived_artifact UNION ALL SELECT 'stands', 'client_binding', count(*) FROM client_binding
+    UNION ALL SELECT 'stands', 'lineage_edge', count(*) FROM lineage_edge UNION ALL SELECT 'stands', 'embedding', count(*) FROM embedding
+    UNION ALL SELECT 'stands', 'ledger', count(*) FROM ledger UNION ALL SELECT 'stands', 'session', count(*) FROM session UNION ALL SELECT 'stands', 'working_memory', count(*) FROM working_memory""",
+    **RUN,
+)
+def _(t):
+    """C-06: what a run would do, by kind, and every table as it stands: decisions are recorded, nothing is applied."""
+    names = ("derived_artifact", "client_binding", "lineage_edge", "embedding", "ledger", "session", "working_memory")
+    decided, _ = runs.planned(t.derived_artifact, *decisions(t))
+    would = decided.groupBy(F.concat(F.lit("would "), "disposition").alias("what"), F.col("artifact_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    stands = [getattr(t, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit("stands").alias("what"), F.lit(n).alias("kind"), "n") for n in names]
+    return reduce(DataFrame.unionAll, stands, would)
+
+
+@query("c05_purged_working", f"SELECT session_id, scratch_key, count(*) AS n FROM working_memory WHERE session_id NOT IN (SELECT session_id FROM session WHERE client_id = {CLIENT}) GROUP BY ALL")
+def _(t):
+    return run(t)["working_memory"].groupBy("session_id", "scratch_key").agg(F.count(F.lit(1)).alias("n"))
