@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import saved
 from . import erasure, history, upkeep
-from .providers import embed
+from .providers import embed, width_gate
 from .recall import clamp
 
 #: States of a text's embedding, and of a stored certificate (fixed values).
@@ -141,11 +141,13 @@ def storage_status(certificates: DataFrame, reports: DataFrame) -> DataFrame:
     return joined.withColumn("storage_status", F.when(F.col("storage_status") == "pending", F.coalesce("_told", "storage_status")).otherwise(F.col("storage_status"))).select(*certificates.columns)
 
 
-def write_with_vectors(artifacts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def write_with_vectors(artifacts: DataFrame, vectors: DataFrame, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """D-23: (artifacts with ``embedding_state``, their vectors): both come from one join, so a state is embedded just where a vector is.
 
-    ``vectors``: artifact_id, vec. Vectors of artifacts that are not written are left out.
+    ``vectors``: artifact_id, vec. Vectors of artifacts that are not written are left out. With a ``width`` the first
+    vector of another one fails the whole write (V-07).
     """
+    vectors = vectors if width is None else width_gate(vectors, "vec", width)
     own = vectors.groupBy("artifact_id").agg(F.first("vec", ignorenulls=True).alias("vec"))
     joined = saved(artifacts.join(own, "artifact_id", "left"))
     empty = F.coalesce(F.col("body"), F.lit("")) == ""
@@ -153,8 +155,9 @@ def write_with_vectors(artifacts: DataFrame, vectors: DataFrame) -> tuple[DataFr
     return joined.select(*artifacts.columns, state.alias("embedding_state")), joined.where("vec is not null").select("artifact_id", "vec")
 
 
-def embedded(artifacts: DataFrame, embedding: DataFrame, written: DataFrame) -> tuple[DataFrame, DataFrame]:
+def embedded(artifacts: DataFrame, embedding: DataFrame, written: DataFrame, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """D-07: (artifacts, embedding) after vectors (artifact_id, vec) are written: one for each artifact, the first stays; pending turns to embedded."""
+    written = written if width is None else width_gate(written, "vec", width)
     both = insert_once(embedding.select("artifact_id", "vec"), written.where("vec is not null").select("artifact_id", "vec"), "artifact_id")
     there = both.select("artifact_id", F.lit(True).alias("_there"))
     moved = artifacts.join(there, "artifact_id", "left")

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import erasure, evidence, graph, history, ingest, policy, upkeep
 from ..session import saved
 from ..sources import generator
-from .pipelines import AUTO, DOWN, POLICY, RESIDUE, outcomes, swept, walked
+from .pipelines import AUTO, DOWN, MUTATION, POLICY, RESIDUE, mutations, outcomes, swept, walked
 from .reads import CURRENT
 from .registry import CLIENT, CLIENTS, query
 
@@ -140,15 +140,15 @@ def _(t):
 # --- sources and scalar functions
 
 
-@query("s23_generated_corpus", "SELECT i AS event_id, (i * 31 + 7) % 28 AS session_id, (i * 31 + 7) % 28 % 4 AS client_id, ['session_start','prompt','model_request','model_response','tool_call','tool_result','file_read','file_write','shell_command','response','cost_record','session_end'][1 + (i // 28) % 12] AS category, sha256('7:' || i) AS payload FROM range(2600) r(i)")
+@query("s23_generated_corpus", "SELECT c.artifact_id AS seed, i AS event_id, (i * 31 + c.artifact_id) % 28 AS session_id, (i * 31 + c.artifact_id) % 28 % 4 AS client_id, ['session_start','prompt','model_request','model_response','tool_call','tool_result','file_read','file_write','shell_command','response','cost_record','session_end'][1 + (i // 28) % 12] AS category, sha256(c.artifact_id || ':' || i) AS payload FROM derived_artifact c, range(60) r(i)")
 def _(t):
-    return generator.events(t.spark, 2600)
+    return generator.corpora(t.derived_artifact.select(F.col("artifact_id").alias("seed")), 60)
 
 
-@query("s11_rules_from_toml", "SELECT 1::BIGINT AS rule_id, 'keys' AS name, 'require_approval' AS action UNION ALL SELECT 2, 'spend', 'halt_agent'")
+@query("s11_rules_from_toml", "SELECT event_id, 1::BIGINT AS rule_id, 'require_approval' AS action FROM mutation WHERE path LIKE '%.pem' UNION ALL SELECT event_id, 2, 'halt_agent' FROM mutation WHERE cost > 1400", mutation=MUTATION)
 def _(t):
-    found = policy.rules_from_toml('[[rule]]\nname = "keys"\nmatch_kind = "file_path"\naction = "require_approval"\npattern = "**/*.pem"\n[[rule]]\nname = "spend"\nmatch_kind = "session_cost"\naction = "halt_agent"\nthreshold = 5.0\n')
-    return policy.rule_table(t.spark, found).select("rule_id", "name", "action")
+    rules = policy.rules_from_toml('[[rule]]\nname = "keys"\nmatch_kind = "file_path"\naction = "require_approval"\npattern = "**/*.pem"\n[[rule]]\nname = "spend"\nmatch_kind = "session_cost"\naction = "halt_agent"\nthreshold = 1400.0\n')
+    return policy.evaluate(policy.enrich(mutations(t), t.session, rules), rules).select("event_id", "rule_id", "action")
 
 
 PATHS = ("a/b/key.pem", "C:\\\\x\\\\key.pem", "key.pem.txt", "/etc//passwd", "home/etc/passwd", "src/.env", "x/secrets/a/b", "secretsx/a")

@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 CYCLE = ("session_start", "prompt", "model_request", "model_response", "tool_call", "tool_result", "file_read", "file_write", "shell_command", "response", "cost_record", "session_end")
 
 
-def events(spark: SparkSession, n: int, sessions: int = 28, clients: int = 4, seed: int = 7) -> DataFrame:
-    """``n`` events over ``sessions`` of ``clients``; the same seed and sizes give the same rows."""
-    i = F.col("id")
+def made(i: Column, seed: Column, sessions: int, clients: int) -> list[Column]:
+    """The columns of the ``i``-th event of a seed."""
     session = (i * 31 + seed) % sessions
     category = F.get(F.array(*[F.lit(c) for c in CYCLE]), (F.floor(i / sessions) % len(CYCLE)).cast("int"))
-    return spark.range(n).select(i.alias("event_id"), session.alias("session_id"), (session % clients).alias("client_id"), category.alias("category"), F.sha2(F.concat_ws(":", F.lit(seed), i), 256).alias("payload"))
+    return [i.alias("event_id"), session.alias("session_id"), (session % clients).alias("client_id"), category.alias("category"), F.sha2(F.concat_ws(":", seed, i), 256).alias("payload")]
+
+
+def events(spark: SparkSession, n: int, sessions: int = 28, clients: int = 4, seed: int = 7) -> DataFrame:
+    """``n`` events over ``sessions`` of ``clients``; the same seed and sizes give the same rows."""
+    return spark.range(n).select(*made(F.col("id"), F.lit(seed), sessions, clients))
+
+
+def corpora(seeds: DataFrame, n: int, sessions: int = 28, clients: int = 4) -> DataFrame:
+    """``n`` events for each row of ``seeds`` (seed), made where the row lies."""
+    rows = seeds.select("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("id"))
+    return rows.select("seed", *made(F.col("id"), F.col("seed"), sessions, clients))
 
 
 def planted(artifacts: DataFrame, owners: DataFrame, chosen: Column, offset: int) -> tuple[DataFrame, DataFrame]:

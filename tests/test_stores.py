@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import vectors
-from lorekeep.operators import chain
+from lorekeep.operators import chain, runs
 from lorekeep.operators.versions import HorizonError, VersionStore
 from lorekeep.session import shared_folder
 from lorekeep.streaming.draining import Drain
@@ -105,3 +105,14 @@ def test_nearest_by_blocks_and_by_broadcast_agree(spark, monkeypatch):
                 want += [(q, i, d, n + 1) for n, (d, i) in enumerate([f for f in far if ceiling is None or f[0] <= ceiling][:7])]
         assert got[0] == got[1] and [(a, b, p) for a, b, _, p in got[0]] == [(a, b, p) for a, b, _, p in sorted(want)]
     assert vectors.knn_join(table.where("false"), queries, 7, None, max_queries=3).count() == 0
+
+
+def test_vectors_of_another_width_are_not_written(spark):
+    artifacts = spark.createDataFrame([(1, "a", "pending"), (2, "", "pending")], "artifact_id long, body string, embedding_state string")
+    given = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "artifact_id long, vec array<double>")
+    rows, held = runs.write_with_vectors(artifacts.drop("embedding_state"), given, width=2)
+    assert {r.artifact_id: r.embedding_state for r in rows.collect()} == {1: "embedded", 2: "not_required"} and held.count() == 1
+    with pytest.raises(Exception, match="a vector of width 3 was expected"):
+        runs.write_with_vectors(artifacts.drop("embedding_state"), given, width=3)
+    with pytest.raises(Exception, match="a vector of width 3 was expected"):
+        runs.embedded(artifacts, given.where("false"), given, width=3)[1].collect()
