@@ -43,7 +43,8 @@ def texts(spark):
 
 def test_sql_twins(spark):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark", "labels", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
         ours = registry.QUERIES[name](spark, SF)
         theirs = con.sql(sql)
