@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import chain, runs, upkeep
 from ..operators.versions import VersionStore
 from ..session import shared_folder
+from ..sources.spool import Spool
 from ..sources.tables import micros
 from ..streaming import watch
 from ..streaming.draining import Drain
@@ -101,3 +102,13 @@ def _(t):
 @query("c05_purged_working", f"SELECT session_id, scratch_key, count(*) AS n FROM working_memory WHERE session_id NOT IN (SELECT session_id FROM session WHERE client_id = {CLIENT}) GROUP BY ALL")
 def _(t):
     return run(t)["working_memory"].groupBy("session_id", "scratch_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_spool_after_writes", "SELECT event_id AS place, payload AS line FROM (SELECT event_id, payload, sum(strlen(payload) + 1) OVER (ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS tail FROM ledger WHERE payload IS NOT NULL) WHERE tail <= 50000")
+def _(t):
+    spool = Spool(t.spark, shared_folder(t.spark, "spool"), 50_000)
+    middle = t.ledger.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    lines = t.ledger.select(F.col("event_id").alias("place"), F.col("payload").alias("line"))
+    spool.write(lines.where(F.col("place") <= middle))
+    spool.write(lines.where(F.col("place") > middle))
+    return spool.read()

@@ -13,6 +13,7 @@ from lorekeep.functions import vectors
 from lorekeep.operators import chain, runs
 from lorekeep.operators.versions import HorizonError, VersionStore
 from lorekeep.session import shared_folder
+from lorekeep.sources import spool
 from lorekeep.streaming.draining import Drain
 
 
@@ -116,3 +117,19 @@ def test_vectors_of_another_width_are_not_written(spark):
         runs.write_with_vectors(artifacts.drop("embedding_state"), given, width=3)
     with pytest.raises(Exception, match="a vector of width 3 was expected"):
         runs.embedded(artifacts, given.where("false"), given, width=3)[1].collect()
+
+
+def test_a_spool_keeps_the_newest_whole_records(spark, tmp_path):
+    store = spool.Spool(spark, str(tmp_path / "spool"), 40)
+    assert store.read().count() == 0
+    rows = lambda *r: spark.createDataFrame(list(r), "place long, line string")
+    assert store.write(rows((1, "a" * 9), (2, 'quote " and é'), (3, None))) == 1
+    assert sorted(map(tuple, store.read().collect())) == [(1, "a" * 9), (2, 'quote " and é')]
+    with open(tmp_path / "spool/gen=1/part-torn.json", "w") as f:  # a record that was cut off, and one without a place
+        f.write('{"place":9,"line":"cut o\n{"line":"no place"}\n')
+    assert store.read().count() == 2
+    assert store.write(rows((4, "b" * 19))) == 2  # 10 + 15 + 20 bytes are more than 40
+    assert sorted(r.place for r in store.read().collect()) == [2, 4]
+    (tmp_path / "spool/gen=3").mkdir()  # a writer that was lost
+    (tmp_path / "spool/gen=3/part-0.json").write_text('{"place":7,"line":"x"}\n')
+    assert store.last() == 2 and store.write(rows((5, "c" * 50))) == 3 and store.read().count() == 0
