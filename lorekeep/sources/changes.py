@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
@@ -97,5 +99,6 @@ class ChangeReader(DataSourceStreamReader):
 
 
 def change_source(spark, path: str, mode: str = "feed", limit: int = 100_000, parts: int = 8):
+    register_pickle_by_value(sys.modules[__name__])  # workers that read a source may lack the driver's path
     spark.dataSource.register(ChangeSource)
     return spark.readStream.format("changes").options(path=path.removeprefix("file:"), mode=mode, limit=limit, parts=parts).load()

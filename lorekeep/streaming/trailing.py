@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,7 +23,11 @@ CARRIED_TYPES = "event_id long, client_id long, category string, path string, co
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Arbitrary state needs the store that keeps keys on the executors' disks instead of in memory."""
+    """Arbitrary state needs the store that keeps keys on the executors' disks instead of in memory.
+
+    The processors here go to their workers by value: Spark starts one beside the driver that has not the driver's path.
+    """
+    register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
