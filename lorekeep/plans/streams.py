@@ -57,12 +57,13 @@ FEED = """SELECT epoch_us(occurred_at) AS recorded_us, event_id * 2 AS id, clien
 
 
 def feed(t) -> str:
-    """Rows of the log and promises, written to the shared folder out of order."""
+    """Rows of the log and promises, written to the shared folder as a log grows: files follow its instants, the rows of a minute lie in reverse."""
     at = watch.micros_of("occurred_at").alias("recorded_us")
     rows = t.ledger.select(at, (F.col("event_id") * 2).alias("id"), "client_id", F.lit(False).alias("resolved"))
     promises = t.ledger.where("event_id % 1000 = 500").select(at, (F.col("event_id") * 2 + 1).alias("id"), F.lit(None).cast("long").alias("client_id"), F.lit(True).alias("resolved"))
     path = shared_folder(t.spark, "feed")
-    rows.union(promises).repartition(6).write.parquet(path)
+    ranged = rows.union(promises).repartitionByRange("recorded_us", "id").sortWithinPartitions(F.floor(F.col("recorded_us") / 60_000_000), F.desc("id"))
+    ranged.write.option("maxRecordsPerFile", 100_000).parquet(path)
     return path
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import sys
+from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
@@ -15,6 +16,8 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 #: Before every row.
 START = (-(2**63), -(2**63))
+#: Keys of row groups that the driver's side keeps between batches, 17 bytes each.
+HELD = 2_000_000
 
 
 class ChangeSource(DataSource):
@@ -28,6 +31,10 @@ class ChangeSource(DataSource):
     if there is none within ``limit`` but one beyond, it ends at the limit. A poll's batch ends at the limit or the last
     row. Either way its offset is ``(recorded_us, id)``, not a file, so a restart goes on behind the last row that was
     committed, however files were compacted meanwhile.
+
+    A batch reads only the row groups that its range of positions overlaps, each once. A log whose files follow its
+    instants, whatever their order inside, is so read a bounded number of times; where every file has rows of every
+    instant, every batch reads them all.
     """
 
     @classmethod
@@ -42,8 +49,8 @@ class ChangeSource(DataSource):
 
 
 class Slice(InputPartition):
-    def __init__(self, low: tuple[int, int], high: tuple[int, int]):
-        self.low, self.high = low, high
+    def __init__(self, low: tuple[int, int], high: tuple[int, int], groups: list[tuple[str, int]], files):
+        self.low, self.high, self.groups, self.files = low, high, groups, files
 
 
 def after(low: tuple[int, int]):
@@ -55,29 +62,113 @@ def until(high: tuple[int, int]):
     return ~after(high)
 
 
+class Keys:
+    """Positions of rows in order, and which of them are promises."""
+
+    def __init__(self, at: np.ndarray, key: np.ndarray, resolved: np.ndarray):
+        order = np.lexsort((key, at))
+        self.at, self.key, self.resolved = at[order], key[order], resolved[order]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        return int(self.at[i]), int(self.key[i])
+
+    def rank(self, low: tuple[int, int]) -> int:
+        """How many are at ``low`` or before it."""
+        first, last = (int(np.searchsorted(self.at, low[0], side)) for side in ("left", "right"))
+        return first + int(np.searchsorted(self.key[first:last], low[1], "right"))
+
+    def promise(self) -> tuple[int, int]:
+        found = np.flatnonzero(self.resolved)
+        return self[found[-1]] if len(found) else START
+
+
 class ChangeReader(DataSourceStreamReader):
     def __init__(self, options: dict, schema):
         self.path, self.kinds = options["path"], to_arrow_schema(schema)
         self.feed, self.limit, self.parts = options.get("mode", "feed") == "feed", int(options.get("limit", 100_000)), int(options.get("parts", 8))
         self.last: tuple[int, int] | None = None
+        self.known: dict[tuple, list[tuple[int, int, str, int]]] = {}
+        self.promises: dict[tuple[str, int], tuple[int, int]] = {}
+        self.held: OrderedDict[tuple[str, int], Keys] = OrderedDict()
 
     def initialOffset(self) -> dict:
         return {"recorded_us": START[0], "id": START[1]}
 
-    def positions(self, where, columns=("recorded_us", "id")) -> Iterator[tuple[int, int]]:
-        for batch in ds.dataset(self.path, format="parquet").to_batches(columns=list(columns), filter=where):
-            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+    def groups(self) -> list[tuple[int, int, str, int]]:
+        """(first, last instant, file, row group) of all that is there; footers are read of new files only."""
+        rows = ds.dataset(self.path, format="parquet")
+        self.files, parts = rows.filesystem, {f.path: f for f in rows.get_fragments()}
+        infos = {(i.path, i.size, i.mtime_ns): i.path for i in self.files.get_file_info(list(parts))}
+        if infos.keys() != self.known.keys():
+            gone = {path for key, path in infos.items() if key not in self.known} | {key[0] for key in self.known if key not in infos}
+            for kept in (self.held, self.promises):
+                for group in [g for g in kept if g[0] in gone]:
+                    del kept[group]
+            self.known = {key: self.known[key] if key in self.known else list(self.bounds(parts[path])) for key, path in infos.items()}
+            self.all = sorted(g for own in self.known.values() for g in own)
+        return self.all
+
+    def bounds(self, file) -> Iterator[tuple[int, int, str, int]]:
+        for group in file.row_groups:
+            stated = (group.statistics or {}).get("recorded_us")
+            if stated:
+                yield stated["min"], stated["max"], file.path, group.id
+            elif len(keys := self.keys((file.path, group.id))):
+                yield keys[0][0], keys[-1][0], file.path, group.id
+
+    def rows(self, groups: list[tuple[str, int]], files, kinds=None) -> ds.FileSystemDataset:
+        form, numbers = ds.ParquetFileFormat(), {}
+        for path, number in groups:
+            numbers.setdefault(path, []).append(number)
+        parts = [form.make_fragment(path, files, row_groups=own) for path, own in numbers.items()]
+        return ds.FileSystemDataset(parts, kinds or parts[0].physical_schema, form, files)
+
+    def keys(self, group: tuple[str, int]) -> Keys:
+        """The keys of one row group, from memory if it was asked for lately."""
+        if group in self.held:
+            self.held.move_to_end(group)
+            return self.held[group]
+        names = ["recorded_us", "id", *(["resolved"] if self.feed else [])]
+        table = self.rows([group], self.files).to_table(columns=names, filter=pc.field("recorded_us").is_valid() & pc.field("id").is_valid())
+        flags = table["resolved"].fill_null(False).to_numpy() if self.feed else np.zeros(len(table), bool)
+        keys = Keys(table["recorded_us"].to_numpy(), table["id"].to_numpy(), flags)
+        self.held[group] = keys
+        while sum(map(len, self.held.values())) > HELD:
+            self.held.popitem(last=False)
+        return keys
+
+    def promised(self, end: tuple[int, int]) -> bool:
+        """Whether a promise stands behind ``end``; of each row group the last one is looked up once."""
+        for _, last, path, number in sorted(self.groups(), key=lambda g: -g[1]):
+            if last < end[0]:
+                return False
+            if (path, number) not in self.promises:
+                self.promises[path, number] = self.keys((path, number)).promise()
+            if self.promises[path, number] > end:
+                return True
+        return False
 
     def latestOffset(self) -> dict:
         low = self.last or START
-        first = heapq.nsmallest(self.limit, self.positions(after(low)))  # keys alone, ``limit`` of them in memory
+        first = Keys(*(np.zeros(0, kind) for kind in ("int64", "int64", "bool")))  # the next ``limit`` keys
+        for begin, last, path, number in self.groups():
+            if last < low[0]:
+                continue
+            if len(first) == self.limit and begin > first[-1][0]:
+                break
+            own = self.keys((path, number))
+            cut = slice(own.rank(low), own.rank(low) + self.limit)
+            first = Keys(*(np.concatenate([getattr(k, c)[s] for k, s in ((first, slice(None)), (own, cut))]) for c in ("at", "key", "resolved")))
+            first.at, first.key, first.resolved = first.at[: self.limit], first.key[: self.limit], first.resolved[: self.limit]
         end = low
-        if first:
+        if len(first):
             end = first[-1]
             if self.feed:
-                promise = max(self.positions(after(low) & pc.field("resolved")), default=low)
-                within = max(self.positions(after(low) & until(end) & pc.field("resolved")), default=None)
-                end = within or (end if promise > end else low)
+                within = first.promise()
+                end = within if within > START else (end if self.promised(end) else low)
         return {"recorded_us": end[0], "id": end[1]}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
@@ -85,13 +176,12 @@ class ChangeReader(DataSourceStreamReader):
         self.last = high
         if low == high:
             return []
-        first = min((p[0] for p in self.positions(after(low) & until(high))), default=high[0]) if low == START else low[0]
-        cuts = sorted({first + (high[0] - first) * k // self.parts for k in range(1, self.parts)})
-        ends = [low, *[(c, 2**63 - 1) for c in cuts if low < (c, 2**63 - 1) < high], high]
-        return [Slice(a, b) for a, b in zip(ends, ends[1:])]
+        met = [(path, number) for begin, last, path, number in self.groups() if begin <= high[0] and last >= low[0]]
+        n = min(self.parts, len(met))
+        return [Slice(low, high, met[len(met) * k // n : len(met) * (k + 1) // n], self.files) for k in range(n)]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        rows = ds.dataset(self.path, format="parquet", schema=self.kinds)
+        rows = self.rows(partition.groups, partition.files, self.kinds)
         yield from (b for b in rows.to_batches(columns=self.kinds.names, filter=after(partition.low) & until(partition.high)) if len(b))
 
     def commit(self, end: dict) -> None:

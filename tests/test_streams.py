@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.operators import graph, policy, vector_index
 from lorekeep.operators.lineage_index import LineageIndex
 from lorekeep.session import shared_folder
+from lorekeep.sources import changes
 from lorekeep.sources.changes import change_source
 from lorekeep.streaming import trailing, watch
 
@@ -84,6 +85,27 @@ def test_a_restart_goes_on_behind_the_last_position(spark, mode, limit):
     assert max(sizes) <= limit and len(sizes) > 1
 
 
+def test_a_batch_opens_only_the_row_groups_of_its_positions(spark, tmp_path):
+    kinds, rows = "recorded_us long, id long, resolved boolean", [(n // 3, (7 * n) % 3000, n % 500 == 400) for n in range(3000)]
+    for k in range(0, 3000, 200):
+        spark.createDataFrame(rows[k : k + 200][::-1], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    plain = sorted((at, key) for at, key, _ in rows)
+    for mode in ("feed", "poll"):
+        reader = changes.ChangeReader({"path": str(tmp_path / "log"), "mode": mode, "limit": 150, "parts": 4}, spark.createDataFrame([], kinds).schema)
+        start, opened, got = reader.initialOffset(), [], []
+        while (end := reader.latestOffset()) != start:
+            slices = reader.partitions(start, end)
+            opened += [g for s in slices for g in s.groups]
+            batch = [(r["recorded_us"], r["id"]) for s in slices for b in reader.read(s) for r in b.to_pylist()]
+            assert 0 < len(batch) <= 150
+            got, start = got + sorted(batch), end
+        assert got == (plain if mode == "poll" else [r for r in plain if r <= max((at, key) for at, key, done in rows if done)])
+        assert len(opened) <= 3 * 15 and len(set(opened)) >= 14  # 15 files; 20 batches, which once read each of them four times
+    late = spark.createDataFrame([(999, 5000, False), (1500, 1, False)], kinds)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    assert reader.latestOffset() == {"recorded_us": 1500, "id": 1}  # a file that comes later is seen
+
+
 def reachable(edges, roots):
     below, seen = {}, set()
     for a, b in edges:
