@@ -63,9 +63,9 @@ def from_text(text: Column) -> Column:
 
 
 def token_hash_vectors(df: DataFrame, text_col: str, width: int = 64, out_col: str = "vec") -> DataFrame:
-    """V-06: words hashed to signed buckets, then scaled to length one; texts without words get the first axis.
+    """V-06: words hashed to signed buckets, then scaled to length one; texts without words, or whose words cancel out, get the first axis.
 
-    A bucket is the first 8 digest bytes, as an unsigned number, modulo ``width``: no JVM type holds that.
+    Words are runs of ASCII characters after each character became its one lower-case character. A bucket is the first 8 digest bytes, as an unsigned number, modulo ``width``: no JVM type holds that.
     """
 
     @F.pandas_udf("array<double>")
@@ -76,7 +76,7 @@ def token_hash_vectors(df: DataFrame, text_col: str, width: int = 64, out_col: s
 
         def one(text):
             v = np.zeros(width)
-            for word in re.findall(r"[a-z0-9_]+", (text or "").lower(), re.ASCII):
+            for word in re.findall(r"[a-z0-9_]+", (text or "").replace("\u0130", "i").lower(), re.ASCII):  # Python lowers it to two
                 if word not in known:
                     if len(known) > 200_000:
                         known.clear()

@@ -244,12 +244,12 @@ def _(t):
 
 
 WORDS = "SELECT artifact_id, sha256(unnest(regexp_extract_all(lower(coalesce(body, '')), '[a-z0-9_]+'))) AS h FROM derived_artifact"
-HASHED = """SELECT artifact_id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY artifact_id)) AS v FROM (SELECT artifact_id, (('0x' || left(h, 16))::UBIGINT % 64)::INT AS bucket, sum(CASE WHEN ('0x' || substr(h, 17, 2))::INT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM word GROUP BY ALL)"""
+HASHED = """SELECT artifact_id, bucket, s / nullif(sqrt(sum(s * s) OVER (PARTITION BY artifact_id)), 0) AS v FROM (SELECT artifact_id, (('0x' || left(h, 16))::UBIGINT % 64)::INT AS bucket, sum(CASE WHEN ('0x' || substr(h, 17, 2))::INT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM word GROUP BY ALL)"""
 
 
 @query(
     "ud02_embedded_texts",
-    "SELECT artifact_id, bucket, round(v, 6) AS value FROM hashed WHERE v <> 0 UNION ALL SELECT artifact_id, 0, 1.0 FROM derived_artifact WHERE artifact_id NOT IN (SELECT artifact_id FROM hashed WHERE v <> 0)",
+    "SELECT artifact_id, bucket, round(v::VARCHAR::DECIMAL(38, 22), 6)::DOUBLE AS value FROM hashed WHERE v <> 0 UNION ALL SELECT artifact_id, 0, 1.0 FROM derived_artifact WHERE artifact_id NOT IN (SELECT artifact_id FROM hashed WHERE v <> 0)",
     word=WORDS,
     hashed=HASHED,
 )

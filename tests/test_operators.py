@@ -48,6 +48,32 @@ def test_knn_join_is_exact(spark):
         vectors.knn_join(df, df, 1001)
 
 
+def test_embedded_texts_and_their_twin_on_odd_texts(spark, tmp_path):
+    from hashlib import sha256
+
+    import duckdb
+
+    from lorekeep.plans import catalog
+
+    def place(word):
+        d = sha256(word.encode()).digest()
+        return int.from_bytes(d[:8], "big") % 64, d[8] & 1
+
+    names = {}
+    for word in (f"w{i}" for i in range(2000)):
+        names.setdefault(place(word), word)
+    against = next((names[b, 0], names[b, 1]) for b in range(64) if (b, 0) in names and (b, 1) in names)
+    apart = [names[b, 0] for b in range(64) if (b, 0) in names][:5]
+    tie = " ".join(" ".join([w] * n) for w, n in zip(apart, (41, 638, 29, 5, 3)))  # 41 of length 640 is 0.0640625
+    texts = [" ".join(against), " ".join(against * 3), tie, "\u0130stanbul \u212a \u1e9e", "", None, "...", " ".join([*against, "more"])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["ud02_embedded_texts"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(catalog.ORACLE_SQL["ud02_embedded_texts"]).fetchall())
+    assert [r[1:] for r in got if r[0] in (0, 1)] == [(0, 1.0)] * 2 and 0.064063 in [abs(r[2]) for r in got if r[0] == 2]
+
+
 def test_token_hash_vectors(spark):
     df = spark.createDataFrame([("The the cat_1!",), ("",), (None,)], "body string")
     got = [r.vec for r in vectors.token_hash_vectors(df, "body", 16).collect()]
