@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +21,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: What a mutation carries through the state.
 CARRIED = ("event_id", "client_id", "category", "path", "command", "session_cost", "at")
 CARRIED_TYPES = "event_id long, client_id long, category string, path string, command string, session_cost double, at long"
+#: Seqs of a block of waiting events.
+BLOCK = 256
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -38,64 +41,93 @@ def plain(value):
 class TrailingShares(StatefulProcessor):
     """Error shares over the last events of a session, whatever order its events arrive in.
 
-    An event is let out once all events with a smaller seq have come. What came early waits in the state; so does
-    nothing else but a few flags and two counts, however long the session. A seq seen before is a repeat and is
-    dropped. If the gap before a waiting event stays open until the watermark is ``lateness`` past the event's own
-    instant, the event goes on without what is missing.
+    An event is let out once all events with a smaller seq have come. What came early waits in the state, in blocks of
+    ``BLOCK`` successive seqs, each read and written once a batch; so does nothing else but a few flags and counts,
+    however long the session. A seq seen before is a repeat and is dropped. If the gap before a waiting event stays open
+    until the watermark is ``lateness`` past the event's own instant, the event goes on without what is missing; a
+    session has one timer, at the first such instant.
     """
 
     def __init__(self, bounds: list[int | None], lateness: timedelta):
         self.bounds, self.wait = bounds, int(lateness.total_seconds() * 1000)
         self.most = max([n for n in bounds if n is not None], default=1)
+        self.row = Row("session_id", "seq", *CARRIED[:6], *[f"error_{n or 'all'}" for n in bounds])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tail = handle.getValueState("tail", "next long, events long, errors long, flags string")
-        self.waiting = handle.getMapState("waiting", "seq long", CARRIED_TYPES)
+        self.tail = handle.getValueState("tail", "next long, events long, errors long, flags string, held long, due long")
+        self.waiting = handle.getMapState("waiting", "block long", "rows binary")
 
-    def _out(self, session, seq: int, row: tuple, state: list) -> tuple:
+    def _out(self, session, seq: int, row: tuple, state: list) -> Row:
         bad = row[2] == "error"
         state[0], state[1], state[2] = seq + 1, state[1] + 1, state[2] + bad
         state[3] = (state[3] + "01"[bad])[-self.most :]
         share = lambda n: state[2] / state[1] if n is None else state[3][-n:].count("1") / min(n, state[1])
-        return (session, seq, *row[:6], *[share(n) for n in self.bounds])
+        return self.row(session, seq, *row[:6], *[share(n) for n in self.bounds])
 
-    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _put(self, block: int, rows: dict[int, tuple]) -> None:
         if rows:
-            names = ["session_id", "seq", *CARRIED[:6], *[f"error_{n or 'all'}" for n in self.bounds]]
-            yield pd.DataFrame(rows, columns=names).astype({"event_id": "Int64", "client_id": "Int64"})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = list(self.tail.get() or (1, 0, 0, ""))
-        fresh = {int(r.seq): tuple(plain(getattr(r, c)) for c in CARRIED) for frame in rows for r in frame.itertuples(index=False) if r.seq >= state[0]}
-        out, stored = [], self.waiting.exists()
-        while True:
-            seq = state[0]
-            if seq in fresh:
-                row = fresh.pop(seq)
-            elif stored and self.waiting.containsKey((seq,)):
-                row = self.waiting.getValue((seq,))
-                self.waiting.removeKey((seq,))
-            else:
-                break
-            out.append(self._out(key[0], seq, row, state))
+            self.waiting.updateValue((block,), (pickle.dumps(rows),))
+        else:
+            self.waiting.removeKey((block,))
+
+    def _await(self, state: list, due: int) -> None:
+        if state[5] is None or due < state[5]:
+            state[5] = due
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = list(self.tail.get() or (1, 0, 0, "", 0, None))
+        fresh: dict[int, dict[int, tuple]] = {}
+        for r in rows:
+            if r["seq"] >= state[0]:
+                fresh.setdefault(r["seq"] // BLOCK, {})[r["seq"]] = tuple(r[c] for c in CARRIED)
+        out, held, met = [], {}, set()
+
+        def block(n: int) -> dict[int, tuple]:
+            if n not in held:
+                stored = self.waiting.getValue((n,)) if state[4] else None
+                held[n] = pickle.loads(stored[0]) if stored else {}
+                state[4] -= len(held[n])
+                if n in fresh:
+                    met.add(n)
+                    held[n] |= fresh[n]
+            return held[n]
+
+        for n in sorted(fresh):
+            block(n)
+        while (own := block(state[0] // BLOCK)) and (row := own.pop(state[0], None)):
+            met.add(state[0] // BLOCK)
+            out.append(self._out(key[0], state[0], row, state))
+        for n, own in held.items():
+            state[4] += len(own)
+            if n in met:
+                self._put(n, own)
+        due = [own[seq][6] for n, own in held.items() for seq in fresh.get(n, ()) if seq in own]
+        if due:
+            self._await(state, min(due) // 1000 + self.wait)
         self.tail.update(tuple(state))
-        for seq, row in fresh.items():
-            self.waiting.updateValue((seq,), row)
-            self.handle.registerTimer(row[6] // 1000 + self.wait)
-        yield from self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, due = list(self.tail.get() or (1, 0, 0, "")), expiredTimerInfo.getExpiryTimeInMs() - self.wait
-        held = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator())
-        last = max((seq for seq, row in held if row[6] // 1000 <= due), default=0)
-        out = []
-        for seq, row in held:
-            if seq <= last or seq == state[0]:  # what follows without a gap goes along
-                out.append(self._out(key[0], seq, row, state))
-                self.waiting.removeKey((seq,))
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = list(self.tail.get() or (1, 0, 0, "", 0, None))
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - self.wait
+        blocks = {k[0]: pickle.loads(v[0]) for k, v in self.waiting.iterator()} if state[4] else {}
+        last = max((seq for own in blocks.values() for seq, row in own.items() if row[6] // 1000 <= due), default=0)
+        out, state[4], state[5] = [], 0, None
+        for n, own in sorted(blocks.items()):
+            before = len(own)
+            for seq in sorted(own):
+                if seq <= last or seq == state[0]:  # what follows without a gap goes along
+                    out.append(self._out(key[0], seq, own.pop(seq), state))
+            if len(own) < before:
+                self._put(n, own)
+            state[4] += len(own)
+        left = [row[6] for own in blocks.values() for row in own.values()]
+        if left:
+            self._await(state, min(left) // 1000 + self.wait)
         self.tail.update(tuple(state))
-        yield from self._frame(out)
+        yield from out
 
 
 def trailing_stream(mutations: DataFrame, session: DataFrame, rules: list[Rule], lateness: timedelta = timedelta(days=1)) -> DataFrame:
@@ -112,7 +144,7 @@ def trailing_stream(mutations: DataFrame, session: DataFrame, rules: list[Rule],
     rows = timed.select("session_id", "seq", *CARRIED, "_time")
     shares = "".join(f", error_{n or 'all'} double" for n in bounds)
     kinds = f"session_id long, seq long, {CARRIED_TYPES.removesuffix(', at long')}{shares}"
-    done = rows.groupBy("session_id").transformWithStateInPandas(TrailingShares(bounds, lateness), kinds, "append", "eventTime")
+    done = rows.groupBy("session_id").transformWithState(TrailingShares(bounds, lateness), kinds, "append", "eventTime")
     return policy.evaluate(done, rules)
 
 

@@ -18,11 +18,15 @@ def change_stream(spark, path: str, schema, files_per_trigger: int = 16) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def as_stream(rows: DataFrame, name: str, files: int) -> DataFrame:
-    """A table written to the shared folder in ``files`` files and read back as a stream of them."""
-    path = shared_folder(rows.sparkSession, name)
-    rows.repartition(files).write.parquet(path)
-    return change_stream(rows.sparkSession, path, rows.schema, 2)
+def as_stream(rows: DataFrame, name: str, files: int, file_rows: int = 50_000) -> DataFrame:
+    """A table written to the shared folder and read back as a stream of ``files`` / 2 batches.
+
+    It is written in ``files`` files, or a multiple of them, so that none has many more than ``file_rows`` rows; a batch
+    takes as many more.
+    """
+    path, times = shared_folder(rows.sparkSession, name), max(1, -(-rows.count() // (files * file_rows)))
+    rows.repartition(files * times).write.parquet(path)
+    return change_stream(rows.sparkSession, path, rows.schema, 2 * times)
 
 
 def as_stream_in_time(rows: DataFrame, name: str, column: str, files: int) -> DataFrame:

@@ -50,6 +50,46 @@ def test_a_gap_is_passed_after_its_lateness(spark):
     assert sorted(r.event_id for r in out.where("session_id = 1").collect()) == [1001, 1002, 1004, 1005, 1006]
 
 
+class Held:
+    """State in memory, which counts how often it is asked."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.calls = {}, None, [], 0
+        for name, act in (("getValue", lambda k: self.rows.get(k)), ("updateValue", self.rows.__setitem__), ("removeKey", lambda k: self.rows.pop(k, None)), ("registerTimer", self.timers.append)):
+            setattr(self, name, self.counted(act))
+        self.get, self.update = self.counted(lambda: self.value), self.counted(lambda v: setattr(self, "value", v))
+        self.getValueState = self.getMapState = lambda *a: self
+
+    def counted(self, act):
+        def call(*args):
+            self.calls += 1
+            return act(*args)
+
+        return call
+
+
+def test_waiting_events_are_kept_in_blocks():
+    seqs = list(range(1, 8001))
+    random.Random(2).shuffle(seqs)
+    processor, state, got = trailing.TrailingShares([3], timedelta(hours=1)), Held(), []
+    processor.init(state)
+    for part in range(4):
+        rows = [dict.fromkeys(trailing.CARRIED) | {"seq": q, "event_id": q, "category": "error" if q % 2 else "view", "at": q * 1000} for q in seqs[part::4]]
+        got += processor.handleInputRows((7,), iter(rows), None)
+    assert [r.seq for r in got] == sorted(seqs) and not state.rows and {r.error_3 for r in got[2:]} == {1 / 3, 2 / 3}
+    assert state.calls < 400  # one event at a time they were over 20,000
+
+
+def test_a_stream_of_a_table_has_small_files_and_as_many_batches(spark):
+    from glob import glob
+
+    source = watch.as_stream(spark.range(1000), "small", 4, file_rows=50)
+    out = watch.drain(source, "small-out")
+    assert out.count() == 1000 and {r.batch for r in out.select("batch").distinct().collect()} == {0, 1}
+    folders = glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/small-*/*.parquet")
+    assert len(folders) == 20
+
+
 def test_live_rows_outlive_a_restart(spark):
     kinds, t0 = "session_id long, scratch_key string, value string, updated_at timestamp_ntz", datetime(2024, 1, 1)
     write = lambda s, v, h: (s, "k", v, t0 + timedelta(hours=h))
