@@ -67,8 +67,7 @@ def _(t):
     drain = Drain(t.spark, shared_folder(t.spark, "attempts"), moody, limit=1_000_000)
     queue = shared_folder(t.spark, "owed")
     watch.with_batches(watch.as_stream(owed, "owed-rows", 4), drain.batches(queue), "owed-offsets").awaitTermination()
-    for later in range(2, 6):  # what failed is tried again until it works or is dead
-        drain.settle(t.spark.read.parquet(queue), later, later * drain.cap)
+    drain.finish(t.spark.read.parquet(queue), 2)  # what failed is tried again until it works or is dead
     return drain.standing().select("key", "attempts", "done", "dead", "value")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.history import numbered
 from ..session import exists, saved
 
 #: An attempt: the pass it was made in, whether it worked, and from when on the key may be tried again.
@@ -38,16 +39,29 @@ class Drain:
         made = self.attempts(before).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("attempts"), F.max("done").alias("done"), F.max("value").alias("value"), F.max("due_us").alias("due_us"))
         return made.withColumn("dead", ~F.col("done") & (F.col("attempts") >= self.most))
 
-    def settle(self, rows: DataFrame, number: int, now_us: int) -> None:
-        """One pass over ``rows`` (key, text, created_us): what is owed and due, at most ``limit`` rows, the oldest first."""
+    def due(self, rows: DataFrame, number: int, now_us: int) -> DataFrame:
+        """(key, attempt) of what is owed and due, at most ``limit`` keys, the oldest first. They are ranked by ranges, without their texts."""
         past = self.standing(number).select("key", "attempts", "done", "due_us", "dead")
-        first = rows.groupBy("key").agg(F.min_by("text", F.struct("created_us", "text")).alias("text"), F.min("created_us").alias("created_us"))
-        owed = first.join(past, "key", "left").where("key IS NOT NULL AND NOT coalesce(done OR dead, false)").where(F.coalesce("due_us", F.lit(now_us)) <= now_us)
-        owed = saved(owed.orderBy("created_us", "key").limit(self.limit).select("key", "text", F.coalesce("attempts", F.lit(0)).alias("attempt")))
+        first = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("created_us").alias("created_us"))
+        owed = first.join(past, "key", "left").where("NOT coalesce(done OR dead, false)").where(F.coalesce("due_us", F.lit(now_us)) <= now_us)
+        ranked = numbered(owed.select("created_us", "key", F.coalesce("attempts", F.lit(0)).alias("attempt")), ["created_us", "key"], "_n", self.spark.createDataFrame([], "_n long"))
+        return saved(ranked.where(F.col("_n") <= self.limit).select("key", "attempt"))
+
+    def settle(self, rows: DataFrame, number: int, now_us: int) -> bool:
+        """One pass over ``rows`` (key, text, created_us): an attempt at every key that is ``due``. Whether there was any."""
+        chosen = self.due(rows, number, now_us)
+        texts = rows.join(chosen, "key").groupBy("key", "attempt").agg(F.min_by("text", F.struct("created_us", "text")).alias("text"))
+        owed = saved(texts.select("key", "text", "attempt"))
         told = self.provider(owed).groupBy("key").agg(F.max("value").alias("value"))
         wait = F.least(F.lit(self.cap), F.lit(self.base) * F.pow(F.lit(2.0), F.col("attempt"))).cast("long")
         out = owed.join(told, "key", "left").select("key", (F.col("attempt") + 1).cast("int").alias("attempt"), F.col("value").isNotNull().alias("done"), "value", (F.lit(now_us) + wait).alias("due_us"))
         out.write.mode("overwrite").parquet(f"{self.path}/pass={number}")
+        return not chosen.isEmpty()
+
+    def finish(self, rows: DataFrame, number: int) -> None:
+        """Passes from ``number`` on, each when all waits are over, until every key is done or dead."""
+        while self.settle(rows, number, number * self.cap):
+            number += 1
 
     def batches(self, queue: str) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``: a batch's rows join the queue in the folder ``queue``, and one pass is made over all that is in it.

@@ -73,6 +73,23 @@ def test_a_drain_settles_each_key_once(spark):
     assert told == {1: (1, True, "v1", False), 2: (3, True, "v2", False), 3: (3, False, None, True), 4: (3, False, None, True)}
 
 
+def test_a_drain_ends_when_nothing_is_owed_and_ranks_keys_alone(spark):
+    rows = spark.createDataFrame([(k, f"t{k}", 50 - k) for k in range(50)] + [(3, "later", 99)], "key long, text string, created_us long")
+    seen = []
+
+    def provider(due):
+        got = [(r.key, r.text, r.attempt) for r in due.collect()]
+        seen.append(got)
+        return spark.createDataFrame([(k, text) for k, text, attempt in got if k % 5 or attempt == 2], "key long, value string")
+
+    drain = Drain(spark, shared_folder(spark, "finish"), provider, limit=8)
+    assert "text" not in drain.due(rows, 0, 0).columns
+    drain.finish(rows, 0)
+    assert sorted(k for k, _, _ in seen[0]) == list(range(42, 50)) and max(map(len, seen)) == 8 and sum(map(len, seen)) == 70
+    told = drain.standing().collect()
+    assert sorted((r.key, r.attempts, r.value) for r in told) == [(k, 1 if k % 5 else 3, f"t{k}") for k in range(50)]
+
+
 def test_the_stated_root_is_the_plain_digest(spark):
     tips = [(i * 7919 % 10_000, f"d{i}" if i % 50 else None) for i in range(10_000)]
     rows = [{"session_id": str(s), "terminal_chain_digest": d} for s, d in sorted(tips, key=lambda t: str(t[0]))]
