@@ -48,6 +48,14 @@ def test_knn_join_is_exact(spark):
         vectors.knn_join(df, df, 1001)
 
 
+def test_redacting_json_holds_few_texts_at_a_time(spark):
+    redact = text.redact_json()
+    plan = spark.range(1).select(redact(F.lit('{"token":"x"}')).alias("r"))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    rows = spark.createDataFrame([('{"token":["x",1]}',), ("no json",), (None,), ('{"a":"\u00e9"}',)], "t string")
+    assert [tuple(r.r) for r in rows.select(redact("t").alias("r")).collect()] == [('{"token":["[removed]",1]}', True), ("no json", False), (None, False), ('{"a":"\u00e9"}', False)]
+
+
 def test_embedded_texts_and_their_twin_on_odd_texts(spark, tmp_path):
     from hashlib import sha256
 
