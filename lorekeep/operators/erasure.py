@@ -5,11 +5,14 @@ Candidates are rows (artifact_kind, artifact_id, content_digest, selection_reaso
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import removed_segments
 from ..functions.vectors import knn_join
+from ..session import saved
 from . import graph, history
 
 #: In the order in which the first reason sticks (fixed values).
@@ -45,17 +48,17 @@ def below_floor(artifacts: DataFrame, bindings: DataFrame, client: int, floor: f
 
 def sweep(session, ledger, artifacts, bindings, edges, embedding, client: int, floor: float = FLOOR) -> DataFrame:
     """C-02: everything that a client's removal selects, with the first reason for each."""
-    bound = artifacts.join(history.current(bindings).where(F.col("client_id") == client), "artifact_id", "left_semi")
-    low = below_floor(artifacts, bindings, client, floor)
-    so_far = step(bound, 2, "derived_artifact", "artifact_id", F.col("content_digest")).union(step(low, 2, "derived_artifact", "artifact_id", F.col("content_digest")))
-    roots = so_far.select(F.col("artifact_id").alias("node")).distinct()
+    bound = artifacts.select("artifact_id").join(history.current(bindings).where(F.col("client_id") == client), "artifact_id", "left_semi")
+    roots = saved(bound.union(below_floor(artifacts, bindings, client, floor).select("artifact_id")).distinct().toDF("node"))
     # events and sessions are roots too: artifacts made from them directly, and what descends from those
-    direct = scoped(session, ledger, client)
+    direct = saved(scoped(session, ledger, client))
     made = edges.join(direct, (F.col("parent_kind") == F.col("artifact_kind")) & (F.col("parent_id") == F.col("artifact_id")), "left_semi").select(F.col("child_id").alias("node")).distinct()
     below = made.union(graph.closure(graph.down(edges), roots.union(made))).distinct()
-    descendants = artifacts.join(below, F.col("artifact_id") == F.col("node"), "left_semi")
-    so_far = so_far.union(step(descendants, 3, "derived_artifact", "artifact_id", F.col("content_digest")))
-    vectors = embedding.join(so_far.select("artifact_id").distinct(), "artifact_id", "left_semi")
+    ids = roots.withColumn("at", F.lit(2)).union(below.withColumn("at", F.lit(3))).groupBy("node").agg(F.min("at").alias("at"))
+    # texts are read and digested once, for all steps
+    derived = saved(artifacts.select("artifact_id", "content_digest").join(ids, F.col("artifact_id") == F.col("node")).select("artifact_id", "content_digest", "at"))
+    so_far = reduce(DataFrame.union, [step(derived.where(F.col("at") == n), n, "derived_artifact", "artifact_id", F.col("content_digest")) for n in (2, 3)])
+    vectors = embedding.join(derived.select("artifact_id").distinct(), "artifact_id", "left_semi")
     return first_reason(direct.union(so_far).union(step(vectors, 4, "embedding", "embedding_id")))
 
 
