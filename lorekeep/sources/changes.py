@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import islice, pairwise, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,17 @@ class ChangeSource(DataSource):
 
     Rows have ``recorded_us`` (microseconds), ``id`` and, in a feed, ``resolved``: a resolved row promises that nothing
     before it is still to come. Options: ``path``; ``mode``, feed or poll; ``limit``, the most rows of a batch;
-    ``parts``, the tasks of a batch.
+    ``parts``, the tasks of a batch; ``batches``, how many of them a trigger may take at once, one by default.
 
     A feed's batch ends at the last resolved row within ``limit`` rows, so what no promise covers is not handed out;
     if there is none within ``limit`` but one beyond, it ends at the limit. A poll's batch ends at the limit or the last
     row. Either way its offset is ``(recorded_us, id)``, not a file, so a restart goes on behind the last row that was
     committed, however files were compacted meanwhile.
 
+    Spark's own work for a trigger takes far longer than the rows of a small batch. A stream that is behind can therefore
+    take several batches in one trigger: they end where they would have ended one by one, each has tasks of its own, so
+    that no task hands out more than ``limit`` rows, and they are committed together.
+
     A batch reads only the row groups that its range of positions overlaps, each once. A log whose files follow its
     instants, whatever their order inside, is so read a bounded number of times; where every file has rows of every
     instant, every batch reads them all.
@@ -89,7 +94,9 @@ class ChangeReader(DataSourceStreamReader):
     def __init__(self, options: dict, schema):
         self.path, self.kinds = options["path"], to_arrow_schema(schema)
         self.feed, self.limit, self.parts = options.get("mode", "feed") == "feed", int(options.get("limit", 100_000)), int(options.get("parts", 8))
+        self.batches = int(options.get("batches", 1))
         self.last: tuple[int, int] | None = None
+        self.planned: tuple[tuple[int, int], ...] = (START,)
         self.known: dict[tuple, list[tuple[int, int, str, int]]] = {}
         self.promises: dict[tuple[str, int], tuple[int, int]] = {}
         self.held: OrderedDict[tuple[str, int], Keys] = OrderedDict()
@@ -142,7 +149,7 @@ class ChangeReader(DataSourceStreamReader):
 
     def promised(self, end: tuple[int, int]) -> bool:
         """Whether a promise stands behind ``end``; of each row group the last one is looked up once."""
-        for _, last, path, number in sorted(self.groups(), key=lambda g: -g[1]):
+        for _, last, path, number in sorted(self.all, key=lambda g: -g[1]):
             if last < end[0]:
                 return False
             if (path, number) not in self.promises:
@@ -151,10 +158,10 @@ class ChangeReader(DataSourceStreamReader):
                 return True
         return False
 
-    def latestOffset(self) -> dict:
-        low = self.last or START
+    def end(self, low: tuple[int, int]) -> tuple[int, int]:
+        """Where the batch behind ``low`` ends: ``low`` itself if there is nothing to hand out."""
         first = Keys(*(np.zeros(0, kind) for kind in ("int64", "int64", "bool")))  # the next ``limit`` keys
-        for begin, last, path, number in self.groups():
+        for begin, last, path, number in self.all:
             if last < low[0]:
                 continue
             if len(first) == self.limit and begin > first[-1][0]:
@@ -163,20 +170,40 @@ class ChangeReader(DataSourceStreamReader):
             cut = slice(own.rank(low), own.rank(low) + self.limit)
             first = Keys(*(np.concatenate([getattr(k, c)[s] for k, s in ((first, slice(None)), (own, cut))]) for c in ("at", "key", "resolved")))
             first.at, first.key, first.resolved = first.at[: self.limit], first.key[: self.limit], first.resolved[: self.limit]
-        end = low
-        if len(first):
-            end = first[-1]
-            if self.feed:
-                within = first.promise()
-                end = within if within > START else (end if self.promised(end) else low)
-        return {"recorded_us": end[0], "id": end[1]}
+        if not len(first):
+            return low
+        end = first[-1]
+        if self.feed:
+            within = first.promise()
+            end = within if within > START else (end if self.promised(end) else low)
+        return end
+
+    def ends(self, low: tuple[int, int]) -> Iterator[tuple[int, int]]:
+        """The ends of the batches behind ``low``, one after the other."""
+        while (end := self.end(low)) > low:
+            yield end
+            low = end
+
+    def latestOffset(self) -> dict:
+        self.groups()
+        low = self.last or START
+        self.planned = (low, *islice(self.ends(low), self.batches))
+        at, key = self.planned[-1]
+        return {"recorded_us": at, "id": key}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         low, high = ((o["recorded_us"], o["id"]) for o in (start, end))
         self.last = high
         if low == high:
             return []
-        met = [(path, number) for begin, last, path, number in self.groups() if begin <= high[0] and last >= low[0]]
+        self.groups()
+        if (self.planned[0], self.planned[-1]) != (low, high):  # planned before a restart
+            self.planned = (low, *takewhile(lambda end: end < high, self.ends(low)), high)
+        return [own for batch in pairwise(self.planned) for own in self.slices(*batch)]
+
+    def slices(self, low: tuple[int, int], high: tuple[int, int]) -> list[Slice]:
+        """The tasks of one batch."""
+        met = [(path, number) for begin, last, path, number in self.all if begin <= high[0] and last >= low[0]]
         n = min(self.parts, len(met))
         return [Slice(low, high, met[len(met) * k // n : len(met) * (k + 1) // n], self.files) for k in range(n)]
 
@@ -188,7 +215,7 @@ class ChangeReader(DataSourceStreamReader):
         pass
 
 
-def change_source(spark, path: str, mode: str = "feed", limit: int = 100_000, parts: int = 8):
+def change_source(spark, path: str, mode: str = "feed", limit: int = 100_000, parts: int = 8, batches: int = 1):
     register_pickle_by_value(sys.modules[__name__])  # workers that read a source may lack the driver's path
     spark.dataSource.register(ChangeSource)
-    return spark.readStream.format("changes").options(path=path.removeprefix("file:"), mode=mode, limit=limit, parts=parts).load()
+    return spark.readStream.format("changes").options(path=path.removeprefix("file:"), mode=mode, limit=limit, parts=parts, batches=batches).load()

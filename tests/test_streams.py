@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import graph, policy, vector_index
 from lorekeep.operators.lineage_index import LineageIndex
+from lorekeep.plans.catalog import QUERIES
 from lorekeep.session import shared_folder
 from lorekeep.sources import changes
 from lorekeep.sources.changes import change_source
@@ -146,6 +147,44 @@ def test_a_batch_opens_only_the_row_groups_of_its_positions(spark, tmp_path):
     assert reader.latestOffset() == {"recorded_us": 1500, "id": 1}  # a file that comes later is seen
 
 
+@pytest.mark.parametrize("mode", ["feed", "poll"])
+def test_a_trigger_takes_several_batches_that_end_as_they_would_alone(spark, tmp_path, mode):
+    kinds, rows = "recorded_us long, id long, resolved boolean", [(n // 7, (11 * n) % 2003, n % 70 == 40 and n < 900) for n in range(2000)]
+    for k in range(0, 2000, 300):
+        spark.createDataFrame(rows[k : k + 300][::-1], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    reader = lambda batches: changes.ChangeReader({"path": str(tmp_path / "log"), "mode": mode, "limit": 60, "parts": 4, "batches": batches}, spark.createDataFrame([], kinds).schema)
+    position, handed = lambda o: (o["recorded_us"], o["id"]), lambda s, by: sorted((r["recorded_us"], r["id"]) for b in by.read(s) for r in b.to_pylist())
+    ends, got, triggers = {}, {}, {}
+    for batches in (1, 8):
+        by, ends[batches], got[batches], triggers[batches] = reader(batches), [], [], 0
+        start = by.initialOffset()
+        while (end := by.latestOffset()) != start:
+            slices, again = by.partitions(start, end), reader(batches).partitions(start, end)  # ``again`` as after a restart
+            assert [(s.low, s.high, s.groups) for s in slices] == [(s.low, s.high, s.groups) for s in again]
+            assert slices[0].low == position(start) and slices[-1].high == position(end)
+            ends[batches] += sorted({s.high for s in slices})
+            for high in sorted({s.high for s in slices}):
+                batch = [r for s in slices if s.high == high for r in handed(s, by)]
+                assert 0 < len(batch) <= 60
+                got[batches] += sorted(batch)
+            start, triggers[batches] = end, triggers[batches] + 1
+    plain = sorted((at, key) for at, key, _ in rows)
+    assert got[1] == got[8] == (plain if mode == "poll" else [r for r in plain if r <= max((at, key) for at, key, done in rows if done)])
+    assert ends[1] == ends[8] and triggers == {1: len(ends[1]), 8: -(-len(ends[1]) // 8)}
+
+
+def triggers_of(spark, name, before=()):
+    from glob import glob
+
+    return set(glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/{name}-offsets-*/commits/[0-9]*")) - set(before)
+
+
+def test_the_feed_query_takes_many_batches_a_trigger(spark):
+    before = triggers_of(spark, "feed-rows")
+    found = QUERIES["st02_feed_to_last_promise"](spark, "/root/testdata/sf0.01")
+    assert found.count() == 9501 and len(triggers_of(spark, "feed-rows", before)) == 1  # three batches of 4,000 rows at most
+
+
 def reachable(edges, roots):
     below, seen = {}, set()
     for a, b in edges:
