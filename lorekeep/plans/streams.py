@@ -79,5 +79,5 @@ def _(t):
 
 @query("st02_polled_rows", "SELECT id, client_id FROM feed WHERE NOT resolved", feed=FEED)
 def _(t):
-    source = change_source(t.spark, feed(t), "poll", limit=4000)
+    source = change_source(t.spark, feed(t), "poll", limit=4000, batches=AT_ONCE)
     return watch.drain(source, "poll-rows", once=False).where("NOT resolved").select("id", "client_id")

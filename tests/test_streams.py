@@ -185,6 +185,27 @@ def test_the_feed_query_takes_many_batches_a_trigger(spark):
     assert found.count() == 9501 and len(triggers_of(spark, "feed-rows", before)) == 1  # three batches of 4,000 rows at most
 
 
+def test_the_poll_query_takes_many_batches_a_trigger(spark):
+    before = triggers_of(spark, "poll-rows")
+    found = QUERIES["st02_polled_rows"](spark, "/root/testdata/sf0.01")
+    assert found.count() == 10_000 and len(triggers_of(spark, "poll-rows", before)) == 1  # three batches of 4,000 rows
+
+
+def test_a_restart_goes_on_behind_several_batches(spark):
+    rows = [(n // 3, (7 * n) % 500) for n in range(200)]
+    path, out, offsets = (shared_folder(spark, n) for n in ("polled", "polled-out", "polled-offsets"))
+    for part, triggers in ((rows[:120], 3), (rows[120:], 5)):  # 12 and 8 batches of 10 rows
+        spark.createDataFrame(part, "recorded_us long, id long").repartition(3).write.mode("append").parquet(path)
+        write = lambda b, n: b.withColumn("task", F.spark_partition_id()).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        run = change_source(spark, path, "poll", 10, batches=5).writeStream.foreachBatch(write).option("checkpointLocation", offsets)
+        running = run.trigger(processingTime="0 seconds").start()
+        running.processAllAvailable()
+        running.stop()
+        got = spark.read.parquet(out)
+        assert sorted((r.recorded_us, r.id) for r in got.collect()) == sorted(rows[: 120 if part[0] == rows[0] else 200])
+        assert {r.batch for r in got.collect()} == set(range(triggers)) and max(r["count"] for r in got.groupBy("batch", "task").count().collect()) <= 10
+
+
 def reachable(edges, roots):
     below, seen = {}, set()
     for a, b in edges:
